@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate
+from gridloom.llm import decontaminate, packing, token_files
 
-QUERIES = {"op4_decontaminate": decontaminate.op4_decontaminate}
+QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+}
 ORACLES = {"op4_decontaminate": decontaminate.SQL}
