@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, packing, token_files
+from gridloom.llm import decontaminate, packing, quality, token_files
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLES = {"op4_decontaminate": decontaminate.SQL}
