@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, packing, quality, token_files
+from gridloom.llm import decontaminate, packing, quality, token_counts, token_files
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
