@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, packing, quality, token_counts, token_files
+from gridloom.llm import decontaminate, packing, quality, substring_dedup, token_counts, token_files
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": token_files.op8_token_files,

@@ -47,6 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: cuts the lineage, and no lost executor takes it along."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -162,6 +163,13 @@ class Words:
         where = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
         return where, hashes[where]
 
+    def span_codes(self, begin: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+        """Hashes of the runs of words from ``begin`` up to ``end``."""
+        base = (GRAM + 2 * seed) | 1
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code * powers(base, len(self.code)))])
+            return mix((sums[end] - sums[begin]) * powers(pow(base, -1, 2**64), len(self.code) + 1)[begin] + (end - begin).astype(np.uint64))
+
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Row and hash of every shingle of ``k`` words; a row of fewer words has one shingle, a row of none none."""
         where, hashes = self.grams(k)
@@ -179,3 +187,12 @@ def word_set(text: str, k: int = 5) -> set[bytes]:
     """The exact shingles of one text, for verification."""
     words = text.encode().split()
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more; else they wait for the
+    driver's next full collection, and a job of several phases holds the disk of all of them."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
