@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, packing, quality, substring_dedup, token_counts, token_files
+from gridloom.llm import decontaminate, packing, quality, substring_dedup, token_counts, token_files, url_filters
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_url_filters": url_filters.op6_url_filters,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
