@@ -1,7 +1,8 @@
 """Token ids of whole texts, equal to those of the ``tokenizers`` library, fast enough for a corpus.
 
 ``Encoder`` cuts a text at white space where no token can cross, and keeps the ids of the words it has met; words it
-has not met are encoded by the library. The cache is bounded and starts over when it is full.
+has not met are encoded by the library. The cache is bounded and has two generations: when the younger is full, it
+becomes the elder, so words that keep turning up stay.
 """
 
 from __future__ import annotations
@@ -11,10 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker keeps.
+#: Words that a worker keeps in a generation.
 CACHE_WORDS = 400_000
-#: Longer words are encoded without being kept.
-KEEP_CHARS = 60
 #: White space to the library, and what only Python takes for it. A cut is before white space after something else.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 ODD = re.compile("[\x1c-\x1f᠎​﻿]")
@@ -35,6 +34,7 @@ class Encoder:
         # Where words are split at white space that is dropped, the space before a word doesn't count.
         self.drops_space = not self.library.encode(" \n ", add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         # Only special tokens with white space inside could cross a cut.
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = [s for s in specials if re.search(r"\s", s)]
@@ -49,14 +49,16 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        new = {p for c in cut if c for p in c}.difference(self.kept)
+        new = set().union(*[c for c in cut if c]).difference(self.kept)
         if len(self.kept) + len(new) > CACHE_WORDS:
-            self.kept = {}
-            new = {p for c in cut if c for p in c}
-        new = list(new)
+            self.elder, self.kept = self.kept, {}
+            new = set().union(*[c for c in cut if c])
+        known = self.elder.keys() & new
+        self.kept.update((p, self.elder[p]) for p in known)
+        new = list(new - known)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                 self.kept[p] = np.array(e.ids, self.dtype).tobytes()
         get = self.kept.__getitem__
         return [self.whole_text(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
