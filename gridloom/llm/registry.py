@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontaminate, packing, quality, substring_dedup, token_counts, token_files, url_filters
+from gridloom.llm import decontaminate, packing, pii, quality, substring_dedup, token_counts, token_files, url_filters
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_url_filters": url_filters.op6_url_filters,
