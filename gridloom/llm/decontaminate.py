@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import Words, documents, map_arrow, table, text_bytes, word_set
+from gridloom.llm.shared import Words, cut, documents, map_arrow, table, text_bytes, word_set
 
 #: Hash values that a sketch holds beyond the fifth that may be missing.
 MARGIN = 4
@@ -71,42 +71,65 @@ class ItemIndex:
         return row[enough], item[enough]
 
 
-def find_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
-    """Every pair of a document and an item of which at least 4/5 of the distinct shingles are in the document:
-    ``doc_id, item_id, n_item, n_shared`` (shingles of the item, and those of them in the document)."""
+def item_indexes(items: DataFrame, k: int):
+    """Indexes of the items, a block of bounded size at a time."""
     items = documents(items, "item_id")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / ITEM_BLOCK_BYTES))
+    for b in range(blocks):
+        rows = items.where(F.coalesce(F.pmod(F.xxhash64("item_id"), F.lit(blocks)), F.lit(0)) == b).collect()
+        yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], k)
+
+
+def search(index: ItemIndex, text: pa.Array, k: int) -> list[tuple[int, int, int, int]]:
+    """Row, item, shingles of the item and those of them in the row, of each pair that the exact shingles confirm."""
+    text = pc.utf8_lower(text)
+    sets: dict[int, set[bytes]] = {}
+    at: dict[int, set[bytes]] = {}
+    out = []
+    for r, i in zip(*(x.tolist() for x in index.candidates(*Words(*text_bytes(text)).shingles(k)))):
+        if r not in at:
+            at = {r: word_set(text[r].as_py(), k)}
+        if i not in sets:
+            sets[i] = word_set(pc.utf8_lower(pa.scalar(index.texts[i])).as_py(), k)
+        shared = len(at[r] & sets[i])
+        if shared * 5 >= len(sets[i]) * 4:
+            out.append((r, i, len(sets[i]), shared))
+    return out
+
+
+def find_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, key: str = "doc_id") -> DataFrame:
+    """Every pair of a document and an item of which at least 4/5 of the distinct shingles are in the document:
+    ``doc_id, item_id, n_item, n_shared`` (shingles of the item, and those of them in the document)."""
     docs = documents(docs, key)
     found = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        index = ItemIndex([r[0] for r in rows], [r[1] for r in rows], k)
-
-        def search(batch: pa.RecordBatch, index=index):
-            text = pc.utf8_lower(batch.column("text"))
-            row, item = index.candidates(*Words(*text_bytes(text)).shingles(k))
-            if not len(row):
-                return
-            sets: dict[int, set[bytes]] = {}
-            at = {}
-            out = []
-            for r, i in zip(row.tolist(), item.tolist()):
-                if r not in at:
-                    at = {r: word_set(text[r].as_py(), k)}
-                if i not in sets:
-                    sets[i] = word_set(pc.utf8_lower(pa.scalar(index.texts[i])).as_py(), k)
-                shared = len(at[r] & sets[i])
-                if shared * 5 >= len(sets[i]) * 4:
-                    out.append((batch.column(key)[r].as_py(), index.ids[i], len(sets[i]), shared))
-            if out:
-                yield dict(zip(("doc_id", "item_id", "n_item", "n_shared"), (pa.array(x, pa.int64()) for x in zip(*out))))
-
-        part = map_arrow(docs, search, SCHEMA)
+    for index in item_indexes(items, k):
+
+        def pairs(batch: pa.RecordBatch, index=index):
+            if got := search(index, batch.column("text"), k):
+                row, item, n, shared = zip(*got)
+                yield {"doc_id": batch.column(key).take(pa.array(row)), "item_id": pa.array([index.ids[i] for i in item], pa.int64()), "n_item": pa.array(n, pa.int64()), "n_shared": pa.array(shared, pa.int64())}
+
+        part = map_arrow(docs, pairs, SCHEMA)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """``docs`` with all its columns, without the rows that hold an item."""
+    for index in item_indexes(items, k):
+
+        def clean(batches, index=index):
+            for whole in batches:
+                for batch in cut(whole):
+                    keep = np.ones(batch.num_rows, bool)
+                    keep[[r for r, *_ in search(index, batch.column("text").cast(pa.string()).fill_null(""), k)]] = False
+                    yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))

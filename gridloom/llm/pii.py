@@ -124,22 +124,21 @@ def matches(kind: str, regex: str, loose: bool) -> Column:
 SPAN = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{n}:tinyint" for n in LABELERS) + ",size:int>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and all spans that any pattern finds, as a table: what follows reads the spans, not the texts."""
+def every_span() -> Column:
+    """All spans that any pattern finds in ``text``."""
     every = [matches(k, BASE[k], False) for k in KINDS] + [matches(k, LOOSE[k], True) for k in LOOSE]
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
-    return materialize(docs.select("doc_id", F.flatten(F.array(*[F.coalesce(x, none) for x in every])).alias("all")), "spans")
+    return F.flatten(F.array(*[F.coalesce(x, none) for x in every]))
 
 
-def parted(found: DataFrame) -> DataFrame:
-    """``base`` spans, and the ``loose`` candidates that overlap none of them."""
+def parted(name: str = "all") -> Column:
+    """Of a column of spans, the ``base`` spans and the ``loose`` candidates that overlap none of them."""
 
     def apart(x: Column) -> Column:
         return F.filter(x["all"], lambda s: ~s["base"] & ~F.exists(x["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
-    bound = F.array(F.struct("all", F.filter("all", lambda s: s["base"]).alias("base")))
-    both = F.get(F.transform(bound, lambda x: F.struct(x["base"].alias("base"), apart(x).alias("loose"))), 0)
-    return found.select("doc_id", both.alias("x")).select("doc_id", "x.base", "x.loose")
+    bound = F.array(F.struct(F.col(name).alias("all"), F.filter(name, lambda s: s["base"]).alias("base")))
+    return F.get(F.transform(bound, lambda x: F.struct(x["base"].alias("base"), apart(x).alias("loose"))), 0)
 
 
 class SpanModel:
@@ -214,26 +213,48 @@ def logistic(patterns: dict[tuple, int], posterior: dict[tuple, float], steps: i
     return dict(weights)
 
 
-def train(found: DataFrame) -> SpanModel:
-    rows = found.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.kind", *[f"s.{n}" for n in LABELERS], "s.size").count().collect()  # 4 x 3^5 x 5 at most
+def train(found: DataFrame, name: str = "all") -> SpanModel:
+    spans = found.select(parted(name).alias("x")).select(F.explode(F.concat("x.base", "x.loose")).alias("s"))
+    rows = spans.groupBy("s.kind", *[f"s.{n}" for n in LABELERS], "s.size").count().collect()  # 4 x 3^5 x 5 at most
     return SpanModel({tuple(r[:-1]): r[-1] for r in rows})
 
 
-def spelled(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+def short(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+
+
+def decided(model: SpanModel, name: str = "all") -> Column:
+    """``base_spans`` and ``spans``: arrays of (kind, start, end), by kind as listed, then start."""
+
+    def decide(x: Column) -> Column:
+        added = F.filter(x["loose"], lambda s: model.score(s) >= ACCEPT)
+        return F.struct(short(x["base"]).alias("base_spans"), F.array_distinct(short(F.concat(x["base"], added))).alias("spans"))
+
+    return F.get(F.transform(F.array(parted(name)), decide), 0)
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """``doc_id, base_spans, spans`` of every document: arrays of (kind, start, end), by kind as listed, then start."""
-    found = materialize(parted(candidates(documents(docs))), "labelled-spans")
-    return decide(found, train(found))
+    """``doc_id, base_spans, spans`` of every document."""
+    docs = documents(docs)
+    found = materialize(docs.select("doc_id", every_span().alias("all")), "spans")  # what follows reads the spans, not the texts
+    return found.select("doc_id", decided(train(found)).alias("x")).select("doc_id", "x.base_spans", "x.spans")
+
+
+def without(docs: DataFrame) -> DataFrame:
+    """``docs`` with each span replaced by its kind in its text, and ``n_chars`` of the new text if there is such a
+    column. A null text stays null."""
+    name = next(n for n in ("_all", "_all_spans", "_all_spans_found") if n not in docs.columns)
+    found = materialize(docs.withColumn(name, every_span()), "spans")
+    model = train(found, name)
+    out = found.withColumn("text", F.when(F.size(name) == 0, F.col("text")).otherwise(redact(F.col("text"), decided(model, name)["spans"])))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size(name) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def decide(found: DataFrame, model: SpanModel) -> DataFrame:
-    keep = F.filter("loose", lambda s: model.score(s) >= ACCEPT)
-    short = lambda xs: F.array_sort(F.transform(xs, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    return found.withColumn("base_spans", short(F.col("base"))).withColumn("spans", F.array_distinct(short(F.concat(F.col("base"), keep)))).drop("base", "loose")
+def spelled(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -231,8 +231,8 @@ def _paired(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["v", "links", "a", "b"])
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, links`` of every document."""
+def linked(docs: DataFrame) -> DataFrame:
+    """``doc_id, d, h, label, links`` of every document; equal labels are linked, no label: no words."""
     docs = keyed(docs)
     texts = docs.select("d", "h", "text")
     seen = materialize(map_arrow(docs, _summary, "doc_id long, d long, h long, v binary, n int"), "sets")
@@ -274,10 +274,27 @@ def join(docs: DataFrame) -> DataFrame:
     labels = components(paired.where("a IS NOT NULL").select("a", "b"))
     known = named.select("v", "copies").join(labels, "v", "left").join(links, "v", "left")
     known = known.select("v", F.coalesce("label", "v").alias("label"), (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("links"))
-    labelled = materialize(seen.select("doc_id", "v").join(known, "v", "left"), "labelled")
+    return materialize(seen.select("doc_id", "d", "h", "v").join(known, "v", "left").drop("v"), "labelled")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, links`` of every document."""
+    labelled = linked(docs)
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return labelled.join(least, "label", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, and of each group of linked documents the one with the smallest id alone. Rows
+    without words stay; rows alike in id and text are one."""
+    labelled = linked(docs)
+    first = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("d", "h")).alias("at")).select("at.d", "at.h")
+    kept = first.unionByName(labelled.where("label IS NULL").select("d", "h").distinct())
+    kept = materialize(kept, "kept").withColumnsRenamed({"d": "_d", "h": "_h"})
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    keyed_docs = docs.withColumn("_d", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))).withColumn("_h", F.xxhash64(text))
+    return keyed_docs.join(kept, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
