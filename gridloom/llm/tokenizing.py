@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that a worker keeps in a generation.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: White space to the library, and what only Python takes for it. A cut is before white space after something else.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 ODD = re.compile("[\x1c-\x1f᠎​﻿]")
@@ -33,12 +33,41 @@ class Encoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         # Where words are split at white space that is dropped, the space before a word doesn't count.
         self.drops_space = not self.library.encode(" \n ", add_special_tokens=False).ids
-        self.kept: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
+        self.model = self.library.model if self._plain_words(path) else None
+        self.letters = dict(enumerate(byte_letters()))
+        self.kept = Kept(self, {})
         # Only special tokens with white space inside could cross a cut.
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = [s for s in specials if re.search(r"\s", s)]
 
+    #: The one split that ``word`` knows, and the same for words of ASCII letters in lower case.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    ASCII_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def _plain_words(self, path: str) -> bool:
+        """Whether the file is a word BPE: lower-cased NFC, split as above, words merged as bytes with an end mark."""
+        import json
+
+        spec = json.loads(open(path, encoding="utf-8").read())
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": self.SPLIT} and cuts[-1].get("use_regex") is False and self.drops_space
+
+    def word(self, word: str) -> list[int] | None:
+        """Ids of a word by the library's merge model alone, where what comes before it is sure: ASCII, or Latin letters."""
+        if "<|" in word:
+            return None
+        if word.isascii():
+            parts = self.ASCII_SPLIT.findall(word.lower())
+            if not word.isprintable():
+                parts = [p.translate(self.letters) for p in parts]
+        elif max(word) < "\u0250" and "\u0130" not in word and (alpha := word.rstrip(".,")).isalpha():
+            tail = word[len(alpha) :]
+            parts = [alpha.lower().encode().decode("latin-1").translate(self.letters), *([tail] if tail else [])]
+        else:
+            return None
+        return [t.id for p in parts for t in self.model.tokenize(p)]
+
     def whole_text(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -48,20 +77,29 @@ class Encoder:
         return text.split() if self.drops_space else PIECE.findall(text)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        new = set().union(*[c for c in cut if c]).difference(self.kept)
-        if len(self.kept) + len(new) > CACHE_WORDS:
-            self.elder, self.kept = self.kept, {}
-            new = set().union(*[c for c in cut if c])
-        known = self.elder.keys() & new
-        self.kept.update((p, self.elder[p]) for p in known)
-        new = list(new - known)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[p] = np.array(e.ids, self.dtype).tobytes()
-        get = self.kept.__getitem__
-        return [self.whole_text(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        out = []
+        for text in texts:
+            cut = self.pieces(text)
+            if len(self.kept) > CACHE_WORDS:
+                self.kept = Kept(self, self.kept)
+            out.append(self.whole_text(text) if cut is None else b"".join(map(self.kept.__getitem__, cut)))
+        return out
+
+
+class Kept(dict):
+    """Ids of the words met: a word that isn't here comes from the elder generation, or is encoded."""
+
+    def __init__(self, encoder: Encoder, elder: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.elder = encoder, dict(elder)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.elder.get(word)
+        if found is None:
+            ids = self.encoder.word(word) if self.encoder.model is not None else None
+            found = self.encoder.whole_text(word) if ids is None else np.array(ids, self.encoder.dtype).tobytes()
+        self[word] = found
+        return found
 
 
 class RankEncoder:
