@@ -4,8 +4,9 @@ Documents are sets of word shingles; those with equal sets form a class, and wha
 ``RUNS`` runs a set is split off to buckets by the shingles that a threshold hash samples, SAMPLED of them on average,
 the same ones in every set they belong to; a bucket with more than ``BUCKET`` sets is split again by shingles sampled for
 the path so far, ``LEVELS`` deep. In small buckets all pairs are tried by size and by a 128-bit minwise sketch whose
-bound a pair of the asked similarity fails with a chance below 1e-9; a bucket that no path splits holds sets that share
-many sampled shingles, and is linked to its first member. With these numbers a pair at the threshold is missed by all
+bound a pair of the asked similarity fails with a chance below 1e-9. In a large bucket members near its first by sketch are
+linked to it, and the closest of them go no deeper; what no path splits shares many sampled shingles, and is linked to
+its first member. With these numbers a pair at the threshold is missed by all
 runs with a chance of about 1e-7 in buckets that stay small and 1e-3 in those split to the end; misses between members of
 one group are made good by the next step.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
@@ -34,6 +35,9 @@ RUNS, LEVELS, BUCKET, BLOCK = 20, 4, 48, 512
 SAMPLED, SAMPLED_DEEPER = 1.5, 1.25
 #: Differing bits that a pair may have. At similarity 0.8 a bit differs with a chance of 0.1.
 BITS, DIFFER = 128, 40
+#: Members of a large bucket that differ from its first by up to NEAR bits are linked to it; up to SAME, they go no
+#: deeper: what is similar to them is near the first too.
+NEAR, SAME = 44, 20
 NO_ID = -(2**63)
 U64 = np.uint64
 ROOTS = stream(11, RUNS)
@@ -62,7 +66,7 @@ def name_of(s: np.ndarray) -> bytes:
 
 def sketch(s: np.ndarray) -> bytes:
     """One bit of each of ``BITS`` minwise hashes; of large sets the hashes share one permutation, cut into bins."""
-    if len(s) <= 600:
+    if len(s) <= 300:
         least = (s[:, None] * SKETCH[None, :]).min(0)
     else:
         h = mix(s ^ U64(0xA5A5A5A5))
@@ -85,6 +89,21 @@ def children(s: np.ndarray, path: int, wanted: float) -> list[int]:
     return mix(chosen ^ seed).tolist()
 
 
+def first_paths(s: np.ndarray, wanted: float = SAMPLED) -> list[int]:
+    """The paths of all runs at once; the same as ``children`` of each root."""
+    seeds = mix(ROOTS) | U64(1)
+    most = min(2**64 - 1, int(2.0**64 * wanted / max(len(s), 1)))
+    out = []
+    for at in range(0, len(s), 20_000):
+        part = s[at : at + 20_000]
+        value = part[None, :] * seeds[:, None]
+        value ^= value >> U64(32)
+        value *= U64(0xD6E8FEB86659FD93)
+        run, i = np.nonzero(value <= U64(most))
+        out += mix(part[i] ^ seeds[run]).tolist()
+    return out
+
+
 def signed(x) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
@@ -107,7 +126,7 @@ def _first_paths(batch: pa.RecordBatch):
     for s in sets_of(batch.column("text")):
         if not len(s):
             continue
-        mine = [p for root in ROOTS.tolist() for p in children(s, root, SAMPLED)]
+        mine = first_paths(s)
         if mine:
             path += mine
             for column, x in ((v, name_of(s)), (n, len(s)), (bits, sketch(s))):
@@ -132,9 +151,16 @@ def _next_paths(batch: pa.RecordBatch):
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one class, with their ``size``."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(sizes, "path")
+    """Rows of buckets that hold more than one class, with their ``size``. Counting reads the columns that the rows have,
+    so that Spark shuffles them once for both sides of the join."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.max(F.col("n") + F.octet_length("sketch")).alias("probe"))
+    return rows.join(sizes.where("size > 1 AND probe IS NOT NULL").select("path", "size"), "path")
+
+
+def differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    half = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+    return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))) + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1)))
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
@@ -148,10 +174,25 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
 
 
-def first_links(rows: DataFrame) -> DataFrame:
-    """Candidate edges of buckets that can't be split: each member with the first one."""
-    first = rows.groupBy("path").agg(F.min("v").alias("b"))
-    return rows.join(first, "path").select(F.col("v").alias("a"), "b").where("a <> b").distinct()
+def from_first(rows: DataFrame) -> DataFrame:
+    """Large buckets' rows with their bucket's first member ``b`` and the bits in which they ``differ`` from it."""
+    first = rows.groupBy("path").agg(F.min(F.struct("v", "sketch")).alias("first"))
+    near = rows.join(first.select("path", F.col("first.v").alias("b"), F.col("first.sketch").alias("b_sketch")), "path")
+    return near.withColumn("differ", differing("sketch", "b_sketch")).drop("b_sketch", "size")
+
+
+def candidates_of(rows: DataFrame, last: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Candidate edges of one level's buckets, and the rows that go deeper."""
+    edges = [bucket_pairs(rows.where(F.col("size") <= BUCKET))]
+    large = materialize(from_first(rows.where(F.col("size") > BUCKET)), "large")
+    link = lambda x: x.where("v <> b").select(F.col("v").alias("a"), "b")
+    edges.append(link(large.where(F.col("differ") <= NEAR)).distinct())
+    rest = materialize(sized(large.where(F.col("differ") > SAME).drop("b", "differ")), "rest")
+    edges.append(bucket_pairs(rest.where(F.col("size") <= BUCKET)))
+    rest = rest.where(F.col("size") > BUCKET)
+    if last:
+        edges.append(link(rest.join(rest.groupBy("path").agg(F.min("v").alias("b")), "path")).distinct())
+    return edges, rest
 
 
 def exact(keys: list, members: list[tuple[bytes, int, np.ndarray]], sides: list[int]):
@@ -241,17 +282,15 @@ def linked(docs: DataFrame) -> DataFrame:
     once = lambda rows: rows.groupBy("path", "v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
 
     rows = materialize(sized(once(map_arrow(docs.select("text"), _first_paths, ROOT_ROWS))), "buckets")
-    edges = [bucket_pairs(rows.where(F.col("size") <= BUCKET))]
-    large = rows.where(F.col("size") > BUCKET)
-    asked = large.groupBy("v").agg(F.collect_list("path").alias("paths"))  # a class has some SAMPLED x RUNS paths
+    edges, rest = candidates_of(rows, LEVELS == 1)
+    asked = rest.groupBy("v").agg(F.collect_list("path").alias("paths"))  # a class has some SAMPLED x RUNS paths
     deeper = map_arrow(asked.join(where, "v").join(texts, ["d", "h"]).select("v", "paths", "text"), _next_paths, "level int, parent long, path long, v binary, n int, sketch binary")
     deeper = materialize(deeper, "deeper")
     for level in range(2, LEVELS + 1):
-        parents = large.select(F.col("path").alias("parent")).distinct()
-        rows = materialize(sized(once(deeper.where(F.col("level") == level).join(parents, "parent"))), "buckets")
-        edges.append(bucket_pairs(rows.where(F.col("size") <= BUCKET)))
-        large = rows.where(F.col("size") > BUCKET)
-    edges.append(first_links(large))
+        going = rest.select(F.col("path").alias("parent"), "v")
+        rows = materialize(sized(once(deeper.where(F.col("level") == level).join(going, ["parent", "v"], "left_semi"))), "buckets")
+        more, rest = candidates_of(rows, level == LEVELS)
+        edges += more
     candidate = edges[0]
     for e in edges[1:]:
         candidate = candidate.unionByName(e)
