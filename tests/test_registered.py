@@ -37,6 +37,7 @@ def test_query_matches_its_sql(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert str(ROOT) in spark.sparkContext.environment["PYTHONPATH"]  # workers can import the package
 
 
 def test_entry_without_the_subpackage(tmp_path):
