@@ -277,10 +277,21 @@ def fuse(stencils: Sequence[Stencil], grid: Grid, out_type: str | None = None, e
     return grid.like(tiled([(s, s.trace()) for s in stencils], [grid], (), kind, edge))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` from the shared folder that the session's ``spark.checkpoint.dir`` names; a session without one, as in
+    tests, gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-"))
+    return df.checkpoint()
+
+
 def iterate(stencil: Stencil, grid: Grid, steps: int, every: int = 8) -> Grid:
     """Time stepping; the lineage is cut by a checkpoint every few steps."""
     for n in range(1, steps + 1):
         grid = stencil.apply(grid)
         if n % every == 0 and n < steps:
-            grid = grid.like(grid.df.checkpoint())
+            grid = grid.like(checkpointed(grid.df))
     return grid

@@ -112,6 +112,7 @@ def test_fused_equals_one_by_one(spark):
     for first, second in ((lib.Jacobi(), lib.Jacobi()), (lib.Jacobi("copy"), lib.Diagnostic("zero")), (lib.NeighborSum("zero", [moore(2)]), lib.Jacobi("copy"))):
         apart = grids.to_array(second.apply(first.apply(grid)))
         assert (grids.to_array(strategies.fuse([first, second], grid, edge=4)) == apart).all()
+    assert (grids.to_array(strategies.iterate(lib.Jacobi(), grid, 3, every=2)) == grids.to_array(lib.Jacobi().apply(lib.Jacobi().apply(lib.Jacobi().apply(grid))))).all()
     assert (grids.to_array(strategies.iterate(lib.Jacobi(), grid, 2)) == grids.to_array(lib.Jacobi().apply(lib.Jacobi().apply(grid)))).all()
 
 
