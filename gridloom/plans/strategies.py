@@ -22,15 +22,17 @@ from gridloom.operators.kernel import Call, Cell, Const, Expr, Lookup, Stencil,
 STRATEGIES = ("auto", "window", "join", "tile")
 #: Terms that may stand in one expression; more overflow the planner's stack.
 MOST_TERMS = 64
+#: A window's line is sorted by one task; longer lines are cut into tiles.
+LONGEST_LINE = 1_000_000
 #: Edge of a tile, by dimension: about as many cells each.
 TILE_EDGE = {1: 65536, 2: 256, 3: 40}
 
 
-def choose(stencil: Stencil, expr: Expr) -> str:
+def choose(stencil: Stencil, expr: Expr, shape: Sequence[int]) -> str:
     used = {c.offset for c in cells(expr)}
     one_axis = all(sum(c != 0 for c in o) <= 1 for o in used)
     terms = sum(isinstance(e, Cell) for e in walk(expr))
-    if one_axis and stencil.dim > 1 and stencil.boundary != "periodic" and max(stencil.halo, default=0) <= 2 and terms <= MOST_TERMS:
+    if one_axis and stencil.dim > 1 and stencil.boundary != "periodic" and max(stencil.halo, default=0) <= 2 and terms <= MOST_TERMS and max(shape) <= LONGEST_LINE:
         return "window"
     return "tile"
 
@@ -48,7 +50,7 @@ def apply(stencil: Stencil, grids: list[Grid], tables: Sequence[Sequence[float]]
     if integral and out_type is None and (tables or any(isinstance(e, Const) and not float(e.value).is_integer() or isinstance(e, Call) and e.name == "div" for e in walk(expr))):
         raise StencilError("an integer grid and a kernel with fractions need an output type")
     kind = T._parse_datatype_string(out_type) if out_type else first.dtype
-    run = {"window": by_window, "join": by_join, "tile": by_tile}[choose(stencil, expr) if strategy == "auto" else strategy]
+    run = {"window": by_window, "join": by_join, "tile": by_tile}[choose(stencil, expr, first.shape) if strategy == "auto" else strategy]
     return Grid(run(stencil, expr, grids, tables, kind), first.keys, first.value, first.shape)
 
 

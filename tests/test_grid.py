@@ -98,6 +98,14 @@ def test_ragged_tiles(spark):
         assert (got == want).all(), edge
 
 
+def test_choice_of_strategy(monkeypatch):
+    s = lib.Jacobi()
+    assert strategies.choose(s, s.trace(), (1000, 100)) == "window"
+    assert strategies.choose(s, s.trace(), (10**7, 100)) == "tile"  # one task would sort a whole line
+    wide = lib.NeighborSum("clamp", [moore()])
+    assert strategies.choose(wide, wide.trace(), (10, 10)) == "tile"
+
+
 def test_periodic_extension(spark):
     a = np.random.default_rng(7).integers(0, 1000, (5, 6))
     s = lib.NeighborSum("periodic", [von_neumann(2)])
