@@ -65,16 +65,10 @@ def name_of(s: np.ndarray) -> bytes:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """One bit of each of ``BITS`` minwise hashes; of large sets the hashes share one permutation, cut into bins."""
-    if len(s) <= 300:
-        least = (s[:, None] * SKETCH[None, :]).min(0)
-    else:
-        h = mix(s ^ U64(0xA5A5A5A5))
-        at = (h & U64(BITS - 1)).astype(np.int64)
-        order = np.lexsort((h, at))
-        first = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
-        bins = at[order][first]
-        least = h[order][first][np.searchsorted(bins, np.arange(BITS)) % len(bins)]  # an empty bin takes the next one's
+    """One bit of each of ``BITS`` minwise hashes, the same ones for sets of any size."""
+    least = np.full(BITS, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 1000):
+        np.minimum(least, (SKETCH[:, None] * s[None, at : at + 1000]).min(1), out=least)
     return np.packbits(((mix(least) >> U64(17)) & U64(1)).astype(np.uint8)).tobytes()
 
 

@@ -203,6 +203,33 @@ def test_large_groups_are_joined_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, similarity_join.join(data.frame(spark, rows)).collect()), key=repr) == groups(rows)
 
 
+SIZES = (299, 300, 301, 310)  # shingles
+
+
+def test_near_copies_of_any_size_share_small_buckets(spark):
+    rows = []
+    for g in range(6):
+        base = data.words(800 + g, 320).split(" ")
+        rows += [(10 * g + i, " ".join(base[: n + 4])) for i, n in enumerate(SIZES)]
+    rows += [(100 + i, data.words(850 + i, 304 + i)) for i in range(4)]
+    assert [len(s) for s in similarity_join.sets_of(pa.array([t for _, t in rows[:4]]))] == list(SIZES)
+    want = groups(rows)
+    assert sum(links for _, _, links in want) == 6 * 4 * 3
+    assert sorted(map(tuple, similarity_join.join(data.frame(spark, rows)).collect()), key=repr) == want
+
+
+def test_near_copies_of_any_size_share_large_buckets(spark):
+    base, rows = data.words(860, 320).split(" "), []
+    for i in range(120):  # more than a bucket holds, on either side of 300 shingles
+        w = base[: SIZES[i % 4] + 4]
+        w[2 * i + 10] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    assert 60 > similarity_join.BUCKET
+    want = groups(rows)
+    assert {(c, links) for _, c, links in want} == {(0, 119)}
+    assert sorted(map(tuple, similarity_join.join(data.frame(spark, rows)).collect()), key=repr) == want
+
+
 # ---- 7: token counts
 
 MIXED = ["it's they'll 're x''s", "a  b\n\n c \t", "\n's 'S", "no-break line", "x<|endoftext|>y <|endoftext|>", "'ll've" * 40, "ab" * 900, " " * 700, "½ ² Ⅷ 日本語", "﻿\x1c ᠎"]
