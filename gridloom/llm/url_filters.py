@@ -3,8 +3,8 @@
 Everything is DataFrame expressions. URLs that a rule decides are the labelled ones; the trees learn from them (up
 to about ``FIT_ROWS``, by hash threshold) and judge the rest. Each feature is cut into bins by fixed edges. A tree
 grows level by level: one aggregation gives gradients and Hessians by node, feature and bin (a table whose size
-doesn't depend on the rows), the driver picks the splits, and the tree becomes a CASE expression. Scoring is one
-projection.
+doesn't depend on the rows), the driver picks the splits, and the tree becomes a CASE expression. Block rates of
+suffixes and path sections are tables of all labelled values, joined by key. Scoring is one projection.
 
 Null url, or one without ``://``: host and path are empty, no rule fits, the trees judge it by its features (all zero
 for null). With no labelled URLs, or those of one class only, every undecided URL gets that class (allow without any).
@@ -40,8 +40,6 @@ EDGES = {
     "suffix_block_rate": [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95],
     "section_block_rate": [0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95],
 }
-#: Suffixes and path sections that get statistics of their own, the most frequent ones; the others share the overall rate.
-MOST_VALUES = 256
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -94,22 +92,19 @@ def with_features(pages: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """A fitted model as data: rates by value, and trees as nested (feature, edge, left, right) or leaf values."""
+    """A fitted model: tables of rates, one row a value, and trees as nested (feature, edge, left, right) or leaf values.
+    Values without a labelled URL get the overall rate."""
 
     prior: float
-    rates: dict[str, dict[str, float]]
+    rates: dict[str, DataFrame]
     trees: list
     constant: str | None = None
 
-    def rate(self, column: str) -> Column:
-        out = F.lit(self.prior)
-        if self.rates.get(column):
-            known = F.create_map(*[F.lit(x) for kv in sorted(self.rates[column].items()) for x in kv])
-            out = F.coalesce(F.element_at(known, F.col(column)), out)
-        return out
-
     def features(self, pages: DataFrame) -> DataFrame:
-        return pages.withColumn("suffix_block_rate", self.rate("suffix")).withColumn("section_block_rate", self.rate("section"))
+        for column, rates in self.rates.items():
+            rate = f"{column}_block_rate"
+            pages = pages.join(rates, column, "left").withColumn(rate, F.coalesce(rate, F.lit(self.prior)))
+        return pages
 
 
 def case(tree, leaf=lambda x: F.lit(float(x))) -> Column:
@@ -119,9 +114,10 @@ def case(tree, leaf=lambda x: F.lit(float(x))) -> Column:
     return F.when(F.col(feature) <= edge, case(left, leaf)).otherwise(case(right, leaf))
 
 
-def _rates(rows: DataFrame, column: str, prior: float) -> dict[str, float]:
-    top = rows.groupBy(column).agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.desc("n"), column).limit(MOST_VALUES).collect()
-    return {r[0]: (r["blocked"] + 20 * prior) / (r["n"] + 20) for r in top}
+def _rates(rows: DataFrame, column: str, prior: float) -> DataFrame:
+    """Block rates of all values of ``column``."""
+    rate = (F.sum("y") + 20 * prior) / (F.count("*") + 20)
+    return materialize(rows.groupBy(column).agg(rate.alias(f"{column}_block_rate")), f"url-{column}")
 
 
 def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Filter:
@@ -130,12 +126,12 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Filter:
     there = labelled.agg(F.count("*"), F.coalesce(F.sum((F.col("rule_verdict") == "block").cast("long")), F.lit(0))).first()
     if there[0] == 0 or there[1] in (0, there[0]):
         return Filter(0.5, {}, [], "block" if there[0] and there[1] else "allow")
-    if there[0] > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 20)) < int((1 << 20) * rows / there[0]))
     labelled = labelled.withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
     prior = there[1] / there[0]
     model = Filter(prior, {}, [])
-    model.rates = {c: _rates(labelled, c, prior) for c in ("suffix", "section")}
+    model.rates = {c: _rates(labelled, c, prior) for c in ("suffix", "section")}  # of all labelled rows
+    if there[0] > rows:
+        labelled = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 20)) < int((1 << 20) * rows / there[0]))
     names = list(EDGES)
     binned = [sum(((F.col(f) > float(e)).cast("int") for e in EDGES[f]), F.lit(0)) for f in names]
     base = math.log(prior / (1 - prior))

@@ -118,6 +118,18 @@ def test_urls_without_labels(spark):
     assert url_filters.judge(one.limit(0)).count() == 0
 
 
+def test_every_section_has_its_rate(spark):
+    from pyspark.sql import functions as F
+
+    urls = [(i, f"http://a.{'com' if i % 400 % 2 else 'org'}/s{i % 400}/{i}", "block" if i % 400 % 2 else "allow") for i in range(1200)]
+    pages = url_filters.with_features(url_filters.with_parts(spark.createDataFrame(urls, "page_id long, url string, v string")))
+    seen = pages.withColumn("rule_verdict", F.when(F.col("section").substr(2, 9).cast("int") % 2 == 1, "block").otherwise("allow"))
+    for rows in (50_000, 100):  # a smaller fit leaves no value out
+        model = url_filters.train(seen, rows)
+        got = {r.section: r.section_block_rate for r in model.features(pages).collect()}
+        assert len(got) == 400 and all(abs(x - (3 * (int(s[1:]) % 2) + 10) / 23) < 1e-9 for s, x in got.items())
+
+
 # ---- 10
 
 
