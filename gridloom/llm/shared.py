@@ -6,17 +6,22 @@ bytes is part of a longer character, so the words of the bytes are the words of
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one numpy block may hold; the temporaries of a block take about 60 times as much.
+#: Text bytes that one numpy block may hold. A longer text is a block of its own; a block's temporaries take about 15
+#: times its bytes (bit masks, and five 64-bit numbers a word), so a text of 50 MB needs some 750 MB of its worker.
 BLOCK_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 4096
 U64 = np.uint64
 
 
@@ -32,8 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_uri(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's ``spark.checkpoint.dir`` names it."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:  # a local session, as in tests
-        given = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    if not given:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="gridloom-")  # one machine: its own folder is shared
         spark.sparkContext.setCheckpointDir(given)
         given = spark.sparkContext.getCheckpointDir()
     return given.rstrip("/")
@@ -48,7 +55,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     free_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 # ---- Arrow -----------------------------------------------------------------------------------------------------
@@ -112,8 +130,26 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-BYTE_VALUE = np.where(IS_SPACE, U64(0), stream(1, 256))
-STEP, GRAM = (int(x) | 1 for x in stream(2, 2))
+LANE, GRAM = (U64(x) | U64(1) for x in stream(2, 2))
+GRAM = int(GRAM)
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes a step, each step a bijection of the state, so no structure of a word's
+    letters cancels out; words of more than LONG_WORD bytes by BLAKE2b."""
+    length = end - start
+    eights = np.ndarray(len(raw) + 1, "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    code = mix(length.astype(np.uint64) * LANE)
+    short = np.flatnonzero(length <= LONG_WORD)
+    at, left = start[short], length[short]
+    while len(short):
+        lane = eights[at] & np.where(left >= 8, ~U64(0), (U64(1) << (np.minimum(left, 7).astype(np.uint64) * U64(8))) - U64(1))
+        code[short] = mix((code[short] ^ lane) * LANE)
+        on = left > 8
+        short, at, left = short[on], at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        code[i] = int.from_bytes(blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return code
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -140,36 +176,36 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         self.count = np.bincount(self.doc, minlength=self.rows) if len(self.doc) else np.zeros(self.rows, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.count)])  # of each row, its first word
-        if len(self.start):
-            length = self.end - self.start
-            packed = raw[inside]
-            at = np.arange(len(packed), dtype=np.int32)
-            begin = np.cumsum(length) - length
-            at -= np.repeat(begin.astype(np.int32), length)
-            power = powers(STEP, int(length.max()) + 1)
-            self.code = mix(np.add.reduceat(BYTE_VALUE[packed] * power[at], begin) ^ length.astype(np.uint64))
-        else:
-            self.code = np.zeros(0, np.uint64)
-
-    def grams(self, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        self.code = word_codes(raw, self.start, self.end)
+
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """All words, each followed by one space, and where each starts (one more than words)."""
+        size = self.end - self.start + 1
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(int(begin[-1]), 32, np.uint8)
+        here = np.repeat(self.start - begin[:-1], size) + np.arange(len(out))
+        inside = np.ones(len(out), bool)
+        inside[begin[1:] - 1] = False
+        out[inside] = self.raw[here[inside]]
+        return out.tobytes(), begin
+
+    def places(self, k: int) -> np.ndarray:
+        """Where runs of ``k`` words within one row start."""
+        n = len(self.code)
+        return np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :]) if n >= k else np.zeros(0, np.int64)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of ``k`` words within one row start, and their hashes; equal runs have equal hashes anywhere."""
         n = len(self.code)
         if n < k:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        base = (GRAM + 2 * seed) | 1
+        base = GRAM
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code * powers(base, n))])
             hashes = mix((sums[k:] - sums[:-k]) * powers(pow(base, -1, 2**64), n - k + 1) + U64(k))
-        where = np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :])
+        where = self.places(k)
         return where, hashes[where]
 
-    def span_codes(self, begin: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-        """Hashes of the runs of words from ``begin`` up to ``end``."""
-        base = (GRAM + 2 * seed) | 1
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.code * powers(base, len(self.code)))])
-            return mix((sums[end] - sums[begin]) * powers(pow(base, -1, 2**64), len(self.code) + 1)[begin] + (end - begin).astype(np.uint64))
-
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """Row and hash of every shingle of ``k`` words; a row of fewer words has one shingle, a row of none none."""
         where, hashes = self.grams(k)
