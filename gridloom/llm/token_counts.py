@@ -8,12 +8,15 @@ complete a token continues the only valid encoding (adjacent tokens of a valid e
 own bytes leaves apart), and the transition is annotated with the tokens that the prefix gained. States are
 determinised as texts need them and kept in a table of bounded size, which starts over when it is full.
 
-A block is cut into chunks of equal length. A chunk's state map is a constant from its first mark on; all chunks run
-from there at once. The maps are then composed by a prefix scan: each head, the bytes before the first mark, is run
-from the exit of the chunk before; a chunk without a mark passes its entry on, in further rounds.
+A block is cut into chunks of equal length. A chunk's state map takes the state before it to the state after it and the
+tokens gained on the way. With a mark in the chunk the map is a constant from there on; all such chunks run at once.
+Maps of chunks without a mark are tabulated by content and entry state as the scan asks for them, all chunks of a
+round at once: the scan composes what it has, guesses the exit of a chunk whose map lacks an entry, and goes on from
+there; states forget their past after some bytes, so that a few rounds settle a long text without a mark, and chunks of
+equal content share a map. Heads, the bytes before a chunk's first mark, then run from the exits of the chunks before.
 
-Null or empty text: no bytes, no tokens. Repeated rows are counted each. Other columns are ignored. An empty table
-gives an empty result.
+Null or empty text: no bytes, no tokens. A very long text is a block of its own. Ties can't arise. Repeated rows are
+counted each. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -37,25 +39,38 @@ CHUNK = 256
 #: States that a worker keeps; a state takes about half a kilobyte.
 MOST_STATES = 150_000
 LETTER, NUMBER, SPACE, WHITE, OTHER = range(5)
-WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 UNKNOWN, ROOT = 0, 1
 
 
 @lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    kind = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-    out[WHITE_SPACE] = WHITE
+def class_runs() -> bytes:
+    """The classes of all code points as the library's own patterns see them, by run: first code points, then classes.
+    Planes without assigned characters, and those for private use, hold others alone."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(sys.maxunicode + 1) if c >> 16 in (0, 1, 2, 3, 14) and not 0xD800 <= c < 0xE000]
+    text, code = "".join(map(chr, points)), np.array(points)
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        for _, (a, b) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            out[code[a:b]] = kind
     out[0x20] = SPACE
-    return out
+    first = np.flatnonzero(np.append(True, out[1:] != out[:-1]))
+    return first.astype("<i4").tobytes() + out[first].tobytes()
+
+
+def classes(runs: bytes) -> np.ndarray:
+    """The class of every code point."""
+    n = len(runs) // 5
+    first = np.frombuffer(runs, "<i4", n)
+    return np.repeat(np.frombuffer(runs, np.uint8, n, 4 * n), np.diff(np.append(first, sys.maxunicode + 1)))
 
 
-def marks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def marks(raw: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where pre-tokens start, by byte."""
     lead = (raw & 0xC0) != 0x80
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    kind = classes()[points]
+    kind = classes[points]
     n = len(points)
     at = np.flatnonzero(lead)
     edge = np.zeros(n + 1, bool)  # the first of a text, or past the last text
@@ -90,7 +105,8 @@ def marks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: bytes):
+        self.classes = classes(runs)
         spec = json.loads(open(path, encoding="utf-8").read())
         model = spec["model"]
         if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -219,24 +235,47 @@ class Transducer:
             got = self.step(state, columns[k], bytes_[k])
             gained[k] = (got & 255) - 128
             state = (got >> 8).astype(np.int64)
-        head = np.where(fresh.any(0), fresh.argmax(0), CHUNK)
-        pending = np.flatnonzero(head > 0)
-        while len(pending):  # the scan: heads from the exits before them
-            ready = pending[state[pending - 1] != UNKNOWN]
-            now, lane = state[ready - 1], ready
-            left = {}
-            for k in range(int(head[ready].max())):
-                going = head[lane] > k
-                left |= dict(zip(lane[~going].tolist(), now[~going].tolist()))
-                lane, now = lane[going], now[going]
-                got = self.step(now, columns[k][lane], bytes_[k][lane])
-                gained[k][lane] = (got & 255) - 128
-                now = (got >> 8).astype(np.int64)
-            through = head[lane] == CHUNK
-            state[lane[through]] = now[through]
-            pending = np.setdiff1d(pending, ready)
+        marked = fresh.any(0)
+        self._compose(np.flatnonzero(~marked), state, gained, columns, bytes_)
+        head = np.where(marked, fresh.argmax(0), 0)
+        lane = np.flatnonzero(head)
+        now = state[lane - 1]  # a block begins with a mark
+        for k in range(int(head.max(initial=0))):
+            going = head[lane] > k
+            lane, now = lane[going], now[going]
+            got = self.step(now, columns[k][lane], bytes_[k][lane])
+            gained[k][lane] = (got & 255) - 128
+            now = (got >> 8).astype(np.int64)
         return gained.T.reshape(-1)[:n]
 
+    def _compose(self, lanes: np.ndarray, state: np.ndarray, gained: np.ndarray, columns: np.ndarray, bytes_: np.ndarray) -> None:
+        """Exits and gains of the chunks without a mark, from the exits of those with one."""
+        number: dict[bytes, int] = {}
+        content = {lane: number.setdefault(bytes_[:, lane].tobytes(), len(number)) for lane in lanes.tolist()}
+        maps: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        state[lanes] = ROOT
+        while True:
+            asked: dict[tuple[int, int], int] = {}
+            entry = {}
+            for lane in content:
+                key = entry[lane] = content[lane], int(state[lane - 1])
+                if key in maps:
+                    state[lane] = maps[key][0]
+                else:
+                    asked.setdefault(key, lane)
+            if not asked:
+                break
+            at, now = np.array(list(asked.values())), np.array([e for _, e in asked])
+            gains = np.zeros((len(at), CHUNK), np.int16)
+            for k in range(CHUNK):
+                got = self.step(now, columns[k][at], bytes_[k][at])
+                gains[:, k] = (got & 255) - 128
+                now = (got >> 8).astype(np.int64)
+            for key, to, gain in zip(asked, now.tolist(), gains):
+                maps[key] = to, gain
+        for lane, key in entry.items():
+            gained[:, lane] = maps[key][1]
+
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text."""
         if not len(raw):
@@ -244,7 +283,7 @@ class Transducer:
         text = raw.tobytes()
         if any(s in text for s in self.special_bytes):
             return self._with_specials(text, offsets)
-        sums = np.concatenate([[0], np.cumsum(self.gains(raw, marks(raw, offsets)), dtype=np.int64)])
+        sums = np.concatenate([[0], np.cumsum(self.gains(raw, marks(raw, offsets, self.classes)), dtype=np.int64)])
         return np.diff(sums[offsets])
 
     def _with_specials(self, text: bytes, offsets: np.ndarray) -> np.ndarray:
@@ -260,21 +299,22 @@ class Transducer:
         if not len(raw):
             return extra
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        sums = np.concatenate([[0], np.cumsum(self.gains(raw, marks(raw, ends)), dtype=np.int64)])
+        sums = np.concatenate([[0], np.cumsum(self.gains(raw, marks(raw, ends, self.classes)), dtype=np.int64)])
         return extra + np.bincount(owner, np.diff(sums[ends]), len(extra)).astype(np.int64)
 
 
 @lru_cache(2)
-def transducer(path: str) -> Transducer:
-    return Transducer(path)
+def transducer(path: str, runs: bytes) -> Transducer:
+    return Transducer(path, runs)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
+    runs = class_runs()
 
     def run(batch: pa.RecordBatch):
         raw, offsets = text_bytes(batch.column("text"))
-        yield {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets), "n_tokens": transducer(path).counts(raw, offsets)}
+        yield {"doc_id": batch.column("doc_id"), "n_bytes": np.diff(offsets), "n_tokens": transducer(path, runs).counts(raw, offsets)}
 
     return map_arrow(documents(docs), run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -1,13 +1,14 @@
 """Token-id output: flat files of unsigned integers with 64-bit document offsets, read by memory map.
 
-A data set is a folder of shards. ``shard-NNNNN.ids`` holds the ids of a range of documents, in ascending ``doc_id``
-order, as little-endian unsigned integers of the narrowest type that holds the vocabulary. ``shard-NNNNN.idx`` holds
+A data set is a folder of shards. ``shard-NNNNN-A.ids`` holds the ids of a range of documents, in ascending ``doc_id``
+order, as little-endian unsigned integers of the narrowest type that holds the vocabulary. ``shard-NNNNN-A.idx`` holds
 int64 document ids, then int64 starts of these documents in the shard, with one more start for the end. The shards'
-places in the whole (``base``) are prefix sums over their token counts. A shard is written under another name and then
-moved, so a task that runs again leaves the same file.
+places in the whole (``base``) are prefix sums over their token counts. A shard's name holds its task attempt's number:
+a task that runs again writes files of its own, and the table of shards names those of the attempt that counted.
 
-Ascending ``doc_id``; a null id comes first, equal ids by text. Null or empty text: the end id alone. Other columns
-are ignored. An empty table gives no rows.
+Ascending ``doc_id``; a null id comes first. Ties: rows of equal id go by a hash of their text and then the text, across
+shards too; equal rows are alike. Null or empty text: the end id alone. A very long text is encoded by itself, and its
+ids are held by its task. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,19 +35,18 @@ NO_ID = -(2**63)
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> DataFrame:
     """Writes the shards and returns one row for each with its ``base``, the ids of all documents before it."""
     spark = docs.sparkSession
-    ordered = documents(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ordered = documents(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         encode = encoder(path)
         part = TaskContext.get().partitionId()
-        name = f"{folder}/shard-{part:05d}"
+        name = f"{folder}/shard-{part:05d}-{TaskContext.get().taskAttemptId()}"
         store, at = pafs.FileSystem.from_uri(name)
         store.create_dir(os.path.dirname(at))
-        mine = f"{at}.{TaskContext.get().taskAttemptId()}"
         end = np.array([end_id], encode.dtype).tobytes()
         wide = encode.dtype.itemsize
         doc_ids, starts = [], [0]
-        with store.open_output_stream(f"{mine}.ids") as out:
+        with store.open_output_stream(f"{at}.ids") as out:
             for batch in batches:
                 for piece in cut(batch):
                     doc_ids += [NO_ID if x is None else x for x in piece.column(0).to_pylist()]
@@ -54,12 +54,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> Data
                         out.write(ids + end)
                         starts.append(starts[-1] + len(ids) // wide + 1)
         if not doc_ids:
-            store.delete_file(f"{mine}.ids")
+            store.delete_file(f"{at}.ids")
             return
-        with store.open_output_stream(f"{mine}.idx") as out:
+        with store.open_output_stream(f"{at}.idx") as out:
             out.write(np.array(doc_ids, "<i8").tobytes() + np.array(starts, "<i8").tobytes())
-        for kind in ("ids", "idx"):
-            store.move(f"{mine}.{kind}", f"{at}.{kind}")
         row = (part, name, encode.dtype.str, len(doc_ids), starts[-1])
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in SHARDS.split(", ")])
 

@@ -1,8 +1,8 @@
 """Token ids of whole texts, equal to those of the ``tokenizers`` library, fast enough for a corpus.
 
 ``Encoder`` cuts a text at white space where no token can cross, and keeps the ids of the words it has met; words it
-has not met are encoded by the library. The cache is bounded and has two generations: when the younger is full, it
-becomes the elder, so words that keep turning up stay.
+has not met are encoded by the library. The cache is bounded, by the number of words and by their length, and has two
+generations: when the younger is full, it becomes the elder, so words that keep turning up stay.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker keeps in a generation.
-CACHE_WORDS = 200_000
+#: Words that a worker keeps in a generation, and the letters of the longest one that is kept.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 64
 #: White space to the library, and what only Python takes for it. A cut is before white space after something else.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 ODD = re.compile("[\x1c-\x1f᠎​﻿]")
@@ -80,8 +80,6 @@ class Encoder:
         out = []
         for text in texts:
             cut = self.pieces(text)
-            if len(self.kept) > CACHE_WORDS:
-                self.kept = Kept(self, self.kept)
             out.append(self.whole_text(text) if cut is None else b"".join(map(self.kept.__getitem__, cut)))
         return out
 
@@ -91,22 +89,27 @@ class Kept(dict):
 
     def __init__(self, encoder: Encoder, elder: dict[str, bytes]):
         super().__init__()
-        self.encoder, self.elder = encoder, dict(elder)
+        self.encoder, self.elder = encoder, elder
 
     def __missing__(self, word: str) -> bytes:
         found = self.elder.get(word)
         if found is None:
             ids = self.encoder.word(word) if self.encoder.model is not None else None
             found = self.encoder.whole_text(word) if ids is None else np.array(ids, self.encoder.dtype).tobytes()
-        self[word] = found
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.elder = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
 class RankEncoder:
     """Ids of a byte-level BPE file of the library, from its vocabulary and split pattern, by tiktoken's merge loop.
 
-    The file's merges are in the order of its ids, so merging by lowest id is merging by first rule. Special strings
-    in a text are taken as the library's default takes them: each is its own token.
+    The file's merges must be in the order of its ids (checked), so merging by lowest id is merging by first rule. Special
+    strings in a text are taken as the library's default takes them: each is its own token. Texts with runs of white
+    space that the loop's pattern can't go back over are left to the library.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -125,10 +128,19 @@ class RankEncoder:
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.engine = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        merges = [rule.split(" ") if isinstance(rule, str) else rule for rule in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if any(a >= b for a, b in zip(made, made[1:])):
+            raise ValueError(f"{path}: its merges are not in the order of its ids")
         self.size = max([*ranks.values(), *special.values()]) + 1
         self.special = frozenset(special)
+        self.path = path
+
+    LONG_GAP = re.compile(r"\s{20000}")
 
     def one(self, text: str) -> np.ndarray:
+        if len(text) > 20_000 and self.LONG_GAP.search(text):
+            return np.frombuffer(encoder(self.path).whole_text(text), encoder(self.path).dtype).astype(np.uint32)
         return self.engine.encode_to_numpy(text, allowed_special=self.special)
 
 
