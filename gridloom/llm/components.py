@@ -1,28 +1,43 @@
-"""Connected components of a graph whose edges are rows: smallest neighbour, then pointer jumps, until nothing moves."""
+"""Connected components of a graph whose edges are rows: smallest neighbour, pointer jumps, contraction, until no edge is left."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import materialize
+from gridloom.llm.shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``v, label`` of every end of an edge ``a, b``; the label is the component's smallest end.
 
-    Each round a vertex takes the smallest label among its neighbours' and its own, and then the label of that label,
-    so paths shorten by half. A round is a table in the shared folder. Self-loops are allowed, repeated edges cost nothing.
+    Each round a vertex points to the smallest of its neighbours and itself, and then to where that one points. The
+    edges are contracted to the ends that are pointed to, without loops and repeats, and the next round works on what
+    is left. At the end the rounds' pointers are followed from the last round back to the first. A round is a table in
+    the shared folder. Self-loops are allowed, repeated edges cost nothing.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = materialize(edges.select(*ends).distinct(), "edges")
+    rounds = []
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "v").select("v", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("v").alias("next"), F.col("label").alias("further"))
-        fresh = moved.join(jump, "next", "left").select("v", F.least("next", F.coalesce("further", "next")).alias("label"), (F.least("next", F.coalesce("further", "next")) != F.col("label")).alias("changed"))
-        fresh = materialize(fresh, "labels")
-        labels = fresh.select("v", "label")
-        if fresh.where("changed").isEmpty():
-            return labels
+        both = left.select(F.explode(F.array(F.struct(F.col("a").alias("v"), "b"), F.struct(F.col("b").alias("v"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        near = materialize(both.groupBy("v").agg(F.least(F.min("b"), F.first("v")).alias("near")), "near")
+        far = near.select(F.col("v").alias("near"), F.col("near").alias("far"))
+        pointer = materialize(near.join(far, "near").select("v", F.col("far").alias("label")), "pointers")
+        rounds.append(pointer)
+        moved = left.join(pointer.select(F.col("v").alias("a"), F.col("label").alias("to_a")), "a").join(pointer.select(F.col("v").alias("b"), F.col("label").alias("to_b")), "b")
+        moved = moved.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+        after = materialize(moved, "edges")
+        discard(left, near)
+        left = after
+        if left.isEmpty():
+            break
+
+    def followed(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        on = later.select(F.col("v").alias("label"), F.col("label").alias("last"))
+        # Where a round's pointers lead may have no edge left, and so no pointer in the next round.
+        return materialize(earlier.join(on, "label", "left").select("v", F.coalesce("last", "label").alias("label")), "labels")
+
+    return reduce(followed, reversed(rounds))

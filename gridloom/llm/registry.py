@@ -18,6 +18,6 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_substring_dedup": substring_dedup.SQL, "op4_decontaminate": decontaminate.SQL}
+ORACLES = {"op2_substring_dedup": substring_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op5_jaccard_join": similarity_join.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

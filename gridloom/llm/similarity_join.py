@@ -2,45 +2,59 @@
 
 Documents are sets of word shingles; those with equal sets form a class, and what follows works on classes. In each of
 ``RUNS`` runs a set is split off to buckets by the shingles that a threshold hash samples, SAMPLED of them on average,
-the same ones in every set they belong to; a bucket with more than ``BUCKET`` sets is split again by shingles sampled for
-the path so far, ``LEVELS`` deep. In small buckets all pairs are tried by size and by a 128-bit minwise sketch whose
-bound a pair of the asked similarity fails with a chance below 1e-9. In a large bucket members near its first by sketch are
-linked to it, and the closest of them go no deeper; what no path splits shares many sampled shingles, and is linked to
-its first member. With these numbers a pair at the threshold is missed by all
-runs with a chance of about 1e-7 in buckets that stay small and 1e-3 in those split to the end; misses between members of
-one group are made good by the next step.
+the same ones in every set they belong to. In buckets of up to ``BUCKET`` sets all pairs are tried, by size and by a
+256-bit minwise sketch whose bound a pair of the asked similarity fails with a chance of about 1e-6; of the pairs found a
+bucket gives one edge a set, to the first of those it hangs together with. Larger buckets are split again by shingles
+sampled for the path so far, as deep as it takes:
 
-The candidates' connected components are then joined exactly: sets are dealt in blocks of ``BLOCK``, and each pair of
-blocks counts all intersections by matrix products. A group of any size is so spread over tasks of bounded size.
+- Each large bucket's first member is its centre. Members that differ from it by up to ``NEAR`` bits get an edge to it.
+- Members within ``SAME`` bits go no deeper: what is within ``DIFFER`` bits of such a member is within SAME + DIFFER =
+  NEAR of the centre (bits that differ are a metric), so it has its edge already. Where all members are near, none goes deeper.
+
+A pair at the threshold is missed by a run that ends at the first level with a chance of about 1/4, at the second 1/2; by
+all runs with about 1e-7 and 1e-3. How much is found is measured: the links of ``CALIBRATION`` documents to all others
+come from brute force, and runs are repeated with new hashes until ``RECALL`` of these links are within groups.
+
+The groups are joined exactly. A small one is one task. A large one is cut by size of set, so that only neighbouring
+sizes meet (a pair at 4/5 differs by a factor of 5/4 at most), and each of these into blocks; each pair of blocks counts
+all intersections by matrix products, and gives sums of links and a forest, not pairs. Links between different texts
+of one large group can be as many as the square of its size, and counting them takes that many multiplications, in
+tasks of bounded size; no row is made for a link.
 
 ``links`` counts the other documents, copies included, whose Jaccard similarity is at least 4/5; ``class_id`` is the
-smallest doc_id that links lead to. Words are split at ASCII white space and compared as they are. Documents without
-words (null, empty) have no links and their own id as class. Documents of fewer than five words have one shingle of all
-of them. Repeated rows are documents of their own. A null id can't be a class id unless nothing else is linked. Other
-columns are ignored. An empty table gives an empty result.
+smallest doc_id that links lead to. Words are split at ASCII white space and compared as they are, shingles by 64-bit
+hashes of their words. Documents without words (null, empty) have no links and their own id as class. Documents of fewer
+than five words have one shingle of all of them. A very long text is a block of its own. Ties don't arise: a similarity of
+exactly 4/5 links. Repeated rows are documents of their own. A null id can't be a class id unless nothing else is
+linked. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.shared import Words, documents, map_arrow, materialize, mix, powers, stream, table, text_bytes
+from gridloom.llm.shared import Words, discard, documents, map_arrow, materialize, mix, stream, table, text_bytes
 
 SHINGLE = 5
-RUNS, LEVELS, BUCKET, BLOCK = 20, 4, 48, 512
+RUNS, BUCKET = 12, 48
 SAMPLED, SAMPLED_DEEPER = 1.5, 1.25
 #: Differing bits that a pair may have. At similarity 0.8 a bit differs with a chance of 0.1.
-BITS, DIFFER = 128, 40
-#: Members of a large bucket that differ from its first by up to NEAR bits are linked to it; up to SAME, they go no
-#: deeper: what is similar to them is near the first too.
-NEAR, SAME = 44, 20
+BITS, DIFFER = 256, 50
+SAME = 26
+NEAR = SAME + DIFFER
+#: Documents whose links are found by brute force (texts of up to so many letters), and the share of them to be reached.
+CALIBRATION, CALIBRATION_LETTERS, RECALL = 256, 200_000, 0.99
+#: Sets and shingles that a block holds.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 NO_ID = -(2**63)
 U64 = np.uint64
-ROOTS = stream(11, RUNS)
 SKETCH = stream(12, BITS) | U64(1)
 
 
@@ -58,48 +72,30 @@ def sets_of(text: pa.Array) -> list[np.ndarray]:
 
 def name_of(s: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
-    with np.errstate(over="ignore"):
-        a = np.add.reduce(mix(s ^ U64(0x5DEECE66D)), keepdims=True)
-        b = np.bitwise_xor.reduce(s * powers(0x9E3779B97F4A7C15, len(s)), keepdims=True) if len(s) else s[:0]
-        return mix(a + U64(len(s))).astype(">u8").tobytes() + mix(np.append(b, U64(0))[:1]).astype(">u8").tobytes()
+    return blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """One bit of each of ``BITS`` minwise hashes, the same ones for sets of any size."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """One bit of each of ``BITS`` minwise hashes, as 64-bit words."""
     least = np.full(BITS, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), 1000):
-        np.minimum(least, (SKETCH[:, None] * s[None, at : at + 1000]).min(1), out=least)
-    return np.packbits(((mix(least) >> U64(17)) & U64(1)).astype(np.uint8)).tobytes()
-
-
-def children(s: np.ndarray, path: int, wanted: float) -> list[int]:
-    """The paths that go on from ``path``: one for each shingle that its hash samples from the set."""
-    seed = mix(np.array([path], np.uint64)) | U64(1)
-    value = s * seed
-    value ^= value >> U64(32)
-    value *= U64(0xD6E8FEB86659FD93)
-    most = min(2**64 - 1, int(2.0**64 * wanted / max(len(s), 1)))
-    chosen = s[value <= U64(most)]
-    return mix(chosen ^ seed).tolist()
-
-
-def first_paths(s: np.ndarray, wanted: float = SAMPLED) -> list[int]:
-    """The paths of all runs at once; the same as ``children`` of each root."""
-    seeds = mix(ROOTS) | U64(1)
-    most = min(2**64 - 1, int(2.0**64 * wanted / max(len(s), 1)))
-    out = []
+    for at in range(0, len(s), 500):
+        np.minimum(least, (SKETCH[:, None] * s[None, at : at + 500]).min(1), out=least)
+    return np.packbits(((mix(least) >> U64(17)) & U64(1)).astype(np.uint8)).view("<i8")
+
+
+def sampled(s: np.ndarray, seeds: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each seed the shingles that its hash samples: (number of the seed, path that goes on with the shingle)."""
+    most = U64(min(2**64 - 1, int(2.0**64 * wanted / max(len(s), 1))))
+    which, path = [], []
     for at in range(0, len(s), 20_000):
         part = s[at : at + 20_000]
         value = part[None, :] * seeds[:, None]
         value ^= value >> U64(32)
         value *= U64(0xD6E8FEB86659FD93)
-        run, i = np.nonzero(value <= U64(most))
-        out += mix(part[i] ^ seeds[run]).tolist()
-    return out
-
-
-def signed(x) -> np.ndarray:
-    return np.array(x, np.uint64).view(np.int64)
+        run, i = np.nonzero(value <= most)
+        which.append(run)
+        path.append(mix(part[i] ^ seeds[run]))
+    return np.concatenate(which), np.concatenate(path)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -107,90 +103,189 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
 
 
-ROOT_ROWS = "path long, v binary, n int, sketch binary"
+WORDS = [f"s{i}" for i in range(BITS // 64)]
+PATHS = "path long, v binary, n int, " + ", ".join(f"{c} long" for c in WORDS)
 
 
-def _summary(batch: pa.RecordBatch):
-    sets = sets_of(batch.column("text"))
-    yield {"doc_id": batch.column("doc_id"), "d": batch.column("d"), "h": batch.column("h"), "v": pa.array([name_of(s) if len(s) else None for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32())}
+def _rows(path: list[np.ndarray], names: list[bytes], sets: list[np.ndarray]) -> dict:
+    """Rows of ``PATHS``, with as many paths for each set as it is given."""
+    each = np.repeat(np.arange(len(sets)), [len(p) for p in path])
+    bits = np.array([sketch(s) if len(p) else np.zeros(BITS // 64, np.int64) for s, p in zip(sets, path)], np.int64).reshape(-1, BITS // 64)
+    out = {"path": np.concatenate([*path, np.zeros(0, np.uint64)]).astype(np.uint64).view(np.int64), "v": pa.array(names, pa.binary()).take(pa.array(each)), "n": np.array([len(s) for s in sets], np.int32)[each]}
+    return out | {c: bits[each, i] for i, c in enumerate(WORDS)}
 
 
-def _first_paths(batch: pa.RecordBatch):
-    path, v, n, bits = [], [], [], []
-    for s in sets_of(batch.column("text")):
-        if not len(s):
-            continue
-        mine = first_paths(s)
-        if mine:
-            path += mine
-            for column, x in ((v, name_of(s)), (n, len(s)), (bits, sketch(s))):
-                column += [x] * len(mine)
-    yield {"path": signed(path), "v": pa.array(v, pa.binary()), "n": pa.array(n, pa.int32()), "sketch": pa.array(bits, pa.binary())}
+def first_paths(docs: DataFrame, batch_of_runs: int) -> DataFrame:
+    """Paths of one shingle, of all runs of a batch."""
+    seeds = mix(stream(100 + batch_of_runs, RUNS)) | U64(1)
 
+    def run(batch: pa.RecordBatch):
+        sets = [s for s in sets_of(batch.column("text")) if len(s)]
+        yield _rows([sampled(s, seeds, SAMPLED)[1] for s in sets], [name_of(s) for s in sets], sets)
 
-def _next_paths(batch: pa.RecordBatch):
-    out = {c: [] for c in ("level", "parent", "path", "v", "n", "sketch")}
-    for s, v, paths in zip(sets_of(batch.column("text")), batch.column("v").to_pylist(), batch.column("paths").to_pylist()):
-        bits = sketch(s)
-        front = [p & (2**64 - 1) for p in paths]
-        for level in range(2, LEVELS + 1):
-            after = []
-            for p in front:
-                for c in children(s, p, SAMPLED_DEEPER):
-                    after.append(c)
-                    for column, x in zip(out.values(), (level, p, c, v, len(s), bits)):
-                        column.append(x)
-            front = after
-    yield {"level": pa.array(out["level"], pa.int32()), "parent": signed(out["parent"]), "path": signed(out["path"]), "v": pa.array(out["v"], pa.binary()), "n": pa.array(out["n"], pa.int32()), "sketch": pa.array(out["sketch"], pa.binary())}
+    return map_arrow(docs.select("text"), run, PATHS)
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one class, with their ``size``. Counting reads the columns that the rows have,
-    so that Spark shuffles them once for both sides of the join."""
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.max(F.col("n") + F.octet_length("sketch")).alias("probe"))
-    return rows.join(sizes.where("size > 1 AND probe IS NOT NULL").select("path", "size"), "path")
+def next_paths(asked: DataFrame) -> DataFrame:
+    """From ``v, paths, content``: the paths that go on from each of a set's paths."""
 
+    def run(batch: pa.RecordBatch):
+        sets = [np.frombuffer(c, "<u8") for c in batch.column("content").to_pylist()]
+        seeds = [mix(np.array(p, np.int64).view(np.uint64)) | U64(1) for p in batch.column("paths").to_pylist()]
+        yield _rows([sampled(s, x, SAMPLED_DEEPER)[1] for s, x in zip(sets, seeds)], batch.column("v").to_pylist(), sets)
 
-def differing(a: str, b: str) -> Column:
+    return map_arrow(asked, run, PATHS)
+
+
+def differing(a: list[Column], b: list[Column]) -> Column:
     """Bits in which two sketches differ."""
-    half = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))) + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1)))
-
-
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Candidate edges of small buckets: all pairs that size and sketch allow."""
-    half = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    rows = rows.select("path", "v", "n", half("sketch", 0).alias("s0"), half("sketch", 1).alias("s1"))
-    a, b = rows.alias("a"), rows.alias("b")
-    differ = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    alike = (F.col("a.n") * 5 >= F.col("b.n") * 4) & (F.col("b.n") * 5 >= F.col("a.n") * 4) & (differ <= DIFFER)
-    pairs = a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.v") < F.col("b.v")) & alike)
-    return pairs.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
-
-
-def from_first(rows: DataFrame) -> DataFrame:
-    """Large buckets' rows with their bucket's first member ``b`` and the bits in which they ``differ`` from it."""
-    first = rows.groupBy("path").agg(F.min(F.struct("v", "sketch")).alias("first"))
-    near = rows.join(first.select("path", F.col("first.v").alias("b"), F.col("first.sketch").alias("b_sketch")), "path")
-    return near.withColumn("differ", differing("sketch", "b_sketch")).drop("b_sketch", "size")
-
-
-def candidates_of(rows: DataFrame, last: bool) -> tuple[list[DataFrame], DataFrame]:
-    """Candidate edges of one level's buckets, and the rows that go deeper."""
-    edges = [bucket_pairs(rows.where(F.col("size") <= BUCKET))]
-    large = materialize(from_first(rows.where(F.col("size") > BUCKET)), "large")
-    link = lambda x: x.where("v <> b").select(F.col("v").alias("a"), "b")
-    edges.append(link(large.where(F.col("differ") <= NEAR)).distinct())
-    rest = materialize(sized(large.where(F.col("differ") > SAME).drop("b", "differ")), "rest")
-    edges.append(bucket_pairs(rest.where(F.col("size") <= BUCKET)))
-    rest = rest.where(F.col("size") > BUCKET)
-    if last:
-        edges.append(link(rest.join(rest.groupBy("path").agg(F.min("v").alias("b")), "path")).distinct())
-    return edges, rest
-
-
-def exact(keys: list, members: list[tuple[bytes, int, np.ndarray]], sides: list[int]):
-    """All pairs of one task: (v, links to other classes weighed by copies), and a spanning forest of the links."""
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one class, once each, with their ``size``; in large buckets with the centre ``b``
+    and the bits in which they ``differ`` from it. Rows of a hot path are counted before they are shuffled, and joined
+    with one row a path, which Spark can split."""
+    bits = [F.col(c) for c in WORDS]
+    once = rows.groupBy("path", "v").agg(*[F.first(c).alias(c) for c in ("n", *WORDS)])
+    sizes = once.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct("v", *WORDS)).alias("first"), F.max("n").alias("most")).where("size > 1 AND most IS NOT NULL")
+    sizes = sizes.select("path", "size", F.when(F.col("size") > BUCKET, F.col("first")).alias("first"))
+    met = once.join(sizes, "path")
+    return met.select("path", "v", "n", *WORDS, "size", F.col("first.v").alias("b"), differing(bits, [F.col(f"first.{c}") for c in WORDS]).alias("differ"))
+
+
+def edges_of(path: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within runs of equal paths, all pairs are tried; of what hangs together each row gets an edge to the first."""
+    label = np.arange(len(path))
+    left, a, b = label[:-1], [], []
+    for off in range(1, BUCKET):
+        left = left[: len(path) - off] if len(left) and left[-1] + off >= len(path) else left
+        left = left[left + off < len(path)]
+        left = left[path[left] == path[left + off]]
+        if not len(left):
+            break
+        i, j = left, left + off
+        fits = (n[i] * 5 >= n[j] * 4) & (n[j] * 5 >= n[i] * 4)
+        i, j = i[fits], j[fits]
+        near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= DIFFER
+        a.append(i[near])
+        b.append(j[near])
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            break
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    hung = np.flatnonzero(label != np.arange(len(path)))
+    return hung, label[hung]
+
+
+def small_edges(rows: DataFrame) -> DataFrame:
+    """Edges ``a, b`` of buckets of up to ``BUCKET`` sets."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool):
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            path = whole["path"].to_numpy()
+            end = len(path) if last else int(np.searchsorted(path, path[-1]))  # the last bucket may go on
+            if end < len(path):
+                held.extend(whole.slice(end).to_batches())
+            v, bits = whole["v"], np.column_stack([whole[c].to_numpy()[:end] for c in WORDS]).view(np.uint64)
+            a, b = edges_of(path[:end], whole["n"].to_numpy()[:end].astype(np.int64), bits)
+            if len(a):
+                yield from pa.table({"a": v.take(pa.array(a)), "b": v.take(pa.array(b))}).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) > 50_000:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("path", "v", "n", *WORDS).repartition(tasks, "path").sortWithinPartitions("path", "v")
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def candidate_edges(docs: DataFrame, where: DataFrame, batch_of_runs: int) -> DataFrame:
+    """Edges that one batch of runs finds. ``where``: the classes ``v`` with the document (d, h) that stands for each."""
+    rows = first_paths(docs, batch_of_runs)
+    found, contents = [], None
+    while True:
+        rows = materialize(bucketed(rows), "buckets")
+        large = rows.where(F.col("size") > BUCKET)
+        found.append(materialize(small_edges(rows.where(F.col("size") <= BUCKET)), "small-edges"))
+        found.append(materialize(large.where((F.col("v") != F.col("b")) & (F.col("differ") <= NEAR)).select(F.col("v").alias("a"), "b").distinct(), "large-edges"))
+        unsettled = large.groupBy("path").agg(F.max("differ").alias("reach")).where(F.col("reach") > NEAR).select("path")
+        rest = large.where(F.col("differ") > SAME).select("path", "v").join(unsettled, "path")
+        asked = materialize(rest.groupBy("v").agg(F.collect_list("path").alias("paths")), "asked")  # some SAMPLED x RUNS paths
+        discard(rows)
+        if asked.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        if contents is None:  # those that go deeper are among these
+            contents = contents_of(asked.select("v"), docs, where)
+        rows = next_paths(asked.join(contents, "v"))
+
+
+def contents_of(wanted: DataFrame, docs: DataFrame, where: DataFrame) -> DataFrame:
+    """``v, content``: the sets of the ``wanted`` classes."""
+
+    def run(batch: pa.RecordBatch):
+        yield {"v": batch.column("v"), "content": pa.array([s.astype("<u8").tobytes() for s in sets_of(batch.column("text"))], pa.binary())}
+
+    told = wanted.join(where.select("v", "d", "h"), "v").join(docs.select("d", "h", "text"), ["d", "h"]).dropDuplicates(["v"])
+    return materialize(map_arrow(told.select("v", "text"), run, "v binary, content binary"), "contents")
+
+
+class Sample:
+    """Sets whose links are found by brute force."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.names = [name_of(s) for s in sets]
+        self.size = np.array([len(s) for s in sets], np.int64)
+        token = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(token, kind="stable")
+        self.token, self.owner = token[order], owner[order]
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[(self.token >> U64(48)).astype(np.int64)] = True
+
+    def links(self, sets: list[np.ndarray]) -> list[list[int]]:
+        """The sample's sets that each set is linked with."""
+        out: list[list[int]] = [[] for _ in sets]
+        if not len(self.token):
+            return out
+        token = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        hit = np.flatnonzero(self.filter[(token >> U64(48)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.token, token[hit], "left"), np.searchsorted(self.token, token[hit], "right")
+        many = hi - lo
+        slot = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pair, shared = np.unique(np.repeat(row[hit], many) * len(self.size) + self.owner[slot], return_counts=True)
+        r, i = pair // len(self.size), pair % len(self.size)
+        size = np.array([len(s) for s in sets], np.int64)[r] + self.size[i] - shared
+        for a, b in zip(r[shared * 5 >= size * 4].tolist(), i[shared * 5 >= size * 4].tolist()):
+            out[a].append(b)
+        return out
+
+
+def sample_of(docs: DataFrame) -> Sample:
+    """The documents of the smallest hashes."""
+    few = docs.where((F.length("text") <= CALIBRATION_LETTERS) & (F.length("text") > 0)).withColumn("order", F.xxhash64("text", F.lit(5)))
+    chosen = [r[0] for r in few.select("order").distinct().orderBy("order").limit(CALIBRATION).collect()]
+    texts = [r[0] for r in few.where(F.col("order").isin(chosen)).groupBy("order").agg(F.first("text")).select("first(text)").collect()]
+    sets = {name_of(s): s for s in sets_of(pa.array(sorted(texts), pa.string())) if len(s)} if texts else {}
+    return Sample(list(sets.values()))
+
+
+def exact(one_block: bool, members: list[tuple[bytes, int, np.ndarray]], sides: list[int]):
+    """All pairs of one task: links to other classes weighed by copies, and a spanning forest of the links."""
     tokens = np.concatenate([m[2] for m in members])
     owner = np.repeat(np.arange(len(members)), [len(m[2]) for m in members])
     order = np.argsort(tokens, kind="stable")
@@ -210,37 +305,33 @@ def exact(keys: list, members: list[tuple[bytes, int, np.ndarray]], sides: list[
     linked = both * 5 >= (size[:, None] + size[None, :] - both) * 4
     np.fill_diagonal(linked, False)
     side = np.array(sides)
-    if keys[1] != keys[2]:  # two blocks: pairs within either are another task's
+    if not one_block:  # pairs within either are another task's
         linked &= side[:, None] != side[None, :]
     copies = np.array([m[1] for m in members])
-    parent = list(range(len(members)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    forest = []
-    for i, j in zip(*np.nonzero(np.triu(linked))):
-        a, b = top(i), top(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            forest.append((members[i][0], members[j][0]))
+    label, forest = np.arange(len(members)), []
+    while True:  # each member to the smallest label around it
+        least = np.where(linked, label[None, :], len(members)).min(1)
+        fresh = np.minimum(label, least)
+        if (fresh == label).all():
+            break
+        label = fresh
+    for i in np.flatnonzero(label != np.arange(len(members))).tolist():
+        forest.append((members[i][0], members[label[i]][0]))
     return linked @ copies, forest
 
 
 PAIRED = "v binary, links long, a binary, b binary"
+TASK = ["label", "p", "i", "q", "j"]
 
 
 def _join_blocks(batches):
-    """Tasks arrive sorted by (label, i, j); each is joined when it is whole."""
+    """Tasks arrive sorted by ``TASK``; each is joined when it is whole."""
     held, now = [], None
 
     def flush():
         rows = []
         if len(held) > 1:
-            links, forest = exact(now, [(h[0], h[1], np.frombuffer(h[2], "<u8")) for h in held], [h[3] for h in held])
+            links, forest = exact(now[1:3] == now[3:5], [(h[0], h[1], np.frombuffer(h[2], "<u8")) for h in held], [h[3] for h in held])
             rows += [(h[0], int(n), None, None) for h, n in zip(held, links) if n]
             rows += [(None, None, a, b) for a, b in forest]
         held.clear()
@@ -248,10 +339,10 @@ def _join_blocks(batches):
 
     out = []
     for batch in batches:
-        for label, i, j, side, v, copies, content in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "side", "v", "copies", "content"))):
-            if (label, i, j) != now:
+        for *task, side, v, copies, content in zip(*(batch.column(c).to_pylist() for c in (*TASK, "side", "v", "copies", "content"))):
+            if task != now:
                 out += flush()
-                now = (label, i, j)
+                now = task
             held.append((v, copies, content, side))
         if len(out) > 5000:
             yield _paired(out)
@@ -266,43 +357,66 @@ def _paired(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["v", "links", "a", "b"])
 
 
+def dealt(groups: DataFrame, named: DataFrame) -> DataFrame:
+    """``v, copies`` and the tasks that each class takes part in: (label, p, i, q, j) is block i of size class p against
+    block j of size class q. A group that fits in a block is of one class."""
+    members = groups.join(named.select("v", "copies", "n"), "v")
+    totals = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    one = (F.col("sets") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    members = members.join(totals, "label").withColumn("p", F.when(one, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(1.25)))).cast("int"))
+    blocks = members.groupBy("label", "p").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("p", "blocks"))).alias("blocks"))  # one row a size class
+    own = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.element_at("blocks", F.col("p"))).cast("int"))
+    p, block = F.col("p"), F.col("block")
+
+    def against(step: int, make) -> Column:
+        many = F.try_element_at("blocks", p + step)
+        return F.when(many.isNotNull(), F.transform(F.sequence(F.lit(0), many - 1), make)).otherwise(F.array())
+
+    task = lambda p, i, q, j, side: F.struct(p.cast("int").alias("p"), i.cast("int").alias("i"), q.cast("int").alias("q"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    tasks = F.concat(
+        against(0, lambda x: task(p, F.least(block, x), p, F.greatest(block, x), F.when(block <= x, 0).otherwise(1))),
+        against(1, lambda x: task(p, block, p + 1, x, F.lit(0))),
+        against(-1, lambda x: task(p - 1, x, p, block, F.lit(1))),
+    )
+    return own.select("v", "copies", "label", tasks.alias("tasks"))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """``doc_id, d, h, label, links`` of every document; equal labels are linked, no label: no words."""
     docs = keyed(docs)
-    texts = docs.select("d", "h", "text")
-    seen = materialize(map_arrow(docs, _summary, "doc_id long, d long, h long, v binary, n int"), "sets")
-    named = materialize(seen.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h")).alias("at")), "classes")
-    where = named.select("v", "copies", "at.d", "at.h")
-    once = lambda rows: rows.groupBy("path", "v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-
-    rows = materialize(sized(once(map_arrow(docs.select("text"), _first_paths, ROOT_ROWS))), "buckets")
-    edges, rest = candidates_of(rows, LEVELS == 1)
-    asked = rest.groupBy("v").agg(F.collect_list("path").alias("paths"))  # a class has some SAMPLED x RUNS paths
-    deeper = map_arrow(asked.join(where, "v").join(texts, ["d", "h"]).select("v", "paths", "text"), _next_paths, "level int, parent long, path long, v binary, n int, sketch binary")
-    deeper = materialize(deeper, "deeper")
-    for level in range(2, LEVELS + 1):
-        going = rest.select(F.col("path").alias("parent"), "v")
-        rows = materialize(sized(once(deeper.where(F.col("level") == level).join(going, ["parent", "v"], "left_semi"))), "buckets")
-        more, rest = candidates_of(rows, level == LEVELS)
-        edges += more
-    candidate = edges[0]
-    for e in edges[1:]:
-        candidate = candidate.unionByName(e)
-    groups = components(materialize(candidate, "candidates"))
-
-    many = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(many, "label").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-
-    def contents(batch: pa.RecordBatch):
-        yield {c: batch.column(c) for c in ("v", "copies", "label", "blocks", "block")} | {"content": pa.array([s.astype("<u8").tobytes() for s in sets_of(batch.column("text"))], pa.binary())}
-
-    told = placed.join(where, "v").join(texts, ["d", "h"]).dropDuplicates(["v"])
-    told = materialize(map_arrow(told.select("v", "copies", "label", "blocks", "block", "text"), contents, "v binary, copies long, label binary, blocks int, block int, content binary"), "contents")
-    dealt = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "v", "copies", "content")
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    paired = dealt.repartition(tasks, "label", "i", "j").sortWithinPartitions("label", "i", "j", "v").mapInArrow(_join_blocks, PAIRED)
+    sample = sample_of(docs)
+
+    def summary(batch: pa.RecordBatch):
+        sets = sets_of(batch.column("text"))
+        yield {"doc_id": batch.column("doc_id"), "d": batch.column("d"), "h": batch.column("h"), "v": pa.array([name_of(s) if len(s) else None for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32()), "near": pa.array(sample.links(sets), pa.list_(pa.int32()))}
+
+    seen = materialize(map_arrow(docs, summary, "doc_id long, d long, h long, v binary, n int, near array<int>"), "sets")
+    named = seen.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min(F.struct("d", "h")).alias("at"), F.max("n").alias("n"))
+    named = materialize(named.select("v", "copies", "n", "at.d", "at.h"), "classes")
+    names = spark.createDataFrame(list(enumerate(sample.names)), "i int, b binary")
+    truth = seen.where(F.size("near") > 0).select("v", F.explode("near").alias("i")).distinct().join(F.broadcast(names), "i").where("v <> b").select("v", "b")
+
+    groups, batch_of_runs = None, 0
+    while True:
+        edges = candidate_edges(docs, named, batch_of_runs)
+        if groups is not None:
+            edges = edges.unionByName(groups.select(F.col("v").alias("a"), F.col("label").alias("b")))
+        groups = components(edges)
+        met = truth.join(groups, "v", "left").join(groups.select(F.col("v").alias("b"), F.col("label").alias("other")), "b", "left")
+        true, reached = met.agg(F.count("*"), F.count(F.when(F.col("label") == F.col("other"), 1))).first()
+        batch_of_runs += 1
+        if reached >= RECALL * true:
+            break
+
+    placed = dealt(groups, named)
+    contents = contents_of(placed.select("v"), docs, named)
+    tasks = placed.join(contents, "v").select("v", "copies", "content", "label", F.explode("tasks").alias("task")).select("v", "copies", "content", "label", "task.*")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paired = tasks.repartition(width, *TASK).sortWithinPartitions(*TASK, "v").mapInArrow(_join_blocks, PAIRED)
     paired = materialize(paired, "paired")
+    discard(contents)
     links = paired.where("v IS NOT NULL").groupBy("v").agg(F.sum("links").alias("other"))
     labels = components(paired.where("a IS NOT NULL").select("a", "b"))
     known = named.select("v", "copies").join(labels, "v", "left").join(links, "v", "left")
@@ -331,3 +445,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+#: All pairs that share a shingle: for tables of some thousand documents.
+SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, unnest([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, greatest(len(ws) - 3, 2))]) AS s FROM w WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS MATERIALIZED (SELECT x.r AS a, y.r AS b FROM s x JOIN s y ON x.s = y.s AND x.r <> y.r JOIN n nx ON nx.r = x.r JOIN n ny ON ny.r = y.r GROUP BY x.r, y.r, nx.n, ny.n HAVING count(*) * 5 >= (nx.n + ny.n - count(*)) * 4),
+reach(r, o) AS (SELECT r, r FROM w UNION SELECT reach.r, p.b FROM reach JOIN p ON p.a = reach.o),
+c AS (SELECT reach.r, min(w.doc_id) AS class_id FROM reach JOIN w ON w.r = reach.o GROUP BY reach.r)
+SELECT w.doc_id, c.class_id, (SELECT count(*) FROM p WHERE p.a = w.r)::BIGINT AS links FROM w JOIN c ON c.r = w.r
+"""
