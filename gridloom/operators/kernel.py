@@ -233,6 +233,12 @@ def cells(e: Expr) -> set[Cell]:
     return {x for x in walk(e) if isinstance(x, Cell)}
 
 
+def looked_up(table: Sequence[float], index: Column) -> Column:
+    """A table's value; an index beyond it raises, a null one gives null."""
+    beyond = F.raise_error(F.lit("a lookup goes beyond its table")).cast("double")
+    return F.when(index.between(0, len(table) - 1), F.get(F.array(*[F.lit(float(x)) for x in table]), index)).when(index.isNotNull(), beyond)
+
+
 def to_column(e: Expr, cell: Callable[[int, Offset], Column], tables: Sequence[Sequence[float]]) -> Column:
     sub = lambda x: to_column(x, cell, tables)
     if isinstance(e, Const):
@@ -243,7 +249,7 @@ def to_column(e: Expr, cell: Callable[[int, Offset], Column], tables: Sequence[S
         index = F.lit(int(e.index.value)) if isinstance(e.index, Const) else sub(e.index).cast("int")
         if isinstance(e.index, Const):
             return F.lit(float(tables[e.table][int(e.index.value)]))
-        return F.get(F.array(*[F.lit(float(x)) for x in tables[e.table]]), index)
+        return looked_up(tables[e.table], index)
     if isinstance(e, Sum):
         out = None
         for sign, t in e.terms:
@@ -254,14 +260,17 @@ def to_column(e: Expr, cell: Callable[[int, Offset], Column], tables: Sequence[S
     return {"mul": lambda: a[0] * a[1], "div": lambda: a[0] / a[1], "neg": lambda: -a[0], "abs": lambda: F.abs(a[0]), "int": lambda: a[0].cast("int"), "min": lambda: F.least(*a), "clamp": lambda: F.greatest(a[1], F.least(a[0], a[2]))}[e.name]()
 
 
-def to_array(e: Expr, cell: Callable[[int, Offset], np.ndarray], tables: Sequence[np.ndarray]):
-    sub = lambda x: to_array(x, cell, tables)
+def to_array(e: Expr, cell: Callable[[int, Offset], np.ndarray], tables: Sequence[np.ndarray], beyond: list):
+    """``beyond`` gets, for each lookup, where its index is out of the table."""
+    sub = lambda x: to_array(x, cell, tables, beyond)
     if isinstance(e, Const):
         return e.value
     if isinstance(e, Cell):
         return cell(e.grid, e.offset)
     if isinstance(e, Lookup):
-        return tables[e.table][np.trunc(sub(e.index)).astype(np.int64)]
+        index, last = np.trunc(sub(e.index)).astype(np.int64), len(tables[e.table]) - 1
+        beyond.append((index < 0) | (index > last))
+        return tables[e.table][np.clip(index, 0, last)]
     if isinstance(e, Sum):
         out = 0
         for sign, t in e.terms:

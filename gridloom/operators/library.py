@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from gridloom.functions.neighborhoods import from_matrix, gaussian, manhattan, moore, von_neumann
-from gridloom.operators.grid import Grid, StencilError
+from gridloom.operators.grid import Grid
 from gridloom.operators.kernel import Stencil
 
 
@@ -75,6 +75,16 @@ class Laplacian27(Stencil):
                 out[x] = out[x] / self.unit
 
 
+class Laplacian27ByHand(_Weighted):
+    """The same 27 points as a kernel written out by kind of neighbor: the cell, 6 faces, 12 edges, 8 corners."""
+
+    neighborhoods = [[o for o in moore(1, 3) if manhattan(o) == d] for d in range(4)]
+
+    def __init__(self, weights: Sequence[float], boundary: str = "zero"):
+        super().__init__(boundary)
+        self.weights = tuple(weights)
+
+
 class HeatFlow(Stencil):
     """One step of heat in a plane over (time, x, y): the cell, an eighth of the four neighbors a step earlier, less a
     quarter of the cell a step earlier for each time it is listed, which is twice."""
@@ -109,7 +119,8 @@ class Convolution(Stencil):
 
 
 class Bilateral(Stencil):
-    """Neighbors weighed by two tables: distance, and difference of value. Not normalised. Values are 0 to 255."""
+    """Neighbors weighed by two tables: distance, and difference of value. Not normalised. Values are 0 to 255: a
+    difference beyond the table raises."""
 
     def __init__(self, radius: int = 3, boundary: str = "clamp"):
         super().__init__(boundary, [moore(radius)])
@@ -171,12 +182,3 @@ class Capped(Stencil):
             out[x] = clamp(image[x], low, high)  # noqa: F821
             for y in self.neighbors(x):
                 out[x] += min(image[y], cap)  # noqa: F821
-
-
-def check_values(grid: Grid, most: int = 255) -> None:
-    """A bilateral filter's table by value ends at ``most``."""
-    from pyspark.sql import functions as F
-
-    low, high = grid.df.agg(F.min(grid.value), F.max(grid.value)).first()
-    if low is not None and (low < 0 or high > most):
-        raise StencilError(f"values must be 0 to {most}")

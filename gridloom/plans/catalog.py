@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,3 +203,44 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("raw_lines", "SELECT event_id // 100 AS row, string_agg(lower(lpad(to_hex(CAST(least(floor(value), 255) AS INT)), 2, '0')), '' ORDER BY event_id) AS pixels FROM events GROUP BY 1")(_raw)
+
+
+# ---- boxes, floats, several steps, sources -----------------------------------------------------------------------
+
+_sum("box_sum_2d", moore(2), strategy="box")
+_sum("box_sum_zero", moore(), "zero", "box")
+register("box_sum_3d", gather(3, moore(1, 3), [1] * 27, (1, 1, 1)))(lambda s, d: lib.NeighborSum("clamp", [moore(1, 3)]).apply(grids.events(s, d, 3), strategy="box").df)
+_FLOAT = "cast(value as float)"
+_AS_FLOAT = "CAST(CAST(value AS FLOAT) AS DOUBLE)"
+register("heat2d_float", gather(3, *_HEAT, (1, 1, 1), whole="total / 8.0", kind="FLOAT", source=view(3, _AS_FLOAT)))(lambda s, d: lib.HeatFlow().apply(grids.events(s, d, 3, _FLOAT)).df)
+for _strategy in ("window", "join", "tile"):
+    register(f"laplacian7_float_{_strategy}", gather(3, *_LAP, (1, 1, 1), kind="FLOAT", source=view(3, _AS_FLOAT)))(lambda s, d, m=_strategy: lib.Laplacian().apply(grids.events(s, d, 3, _FLOAT), strategy=m).df)
+_BY_HAND = [8, 4, 2, 1]
+register("laplacian27_by_hand", gather(3, moore(1, 3), [_BY_HAND[sum(map(abs, o))] for o in moore(1, 3)], (1, 1, 1), "zero"))(lambda s, d: lib.Laplacian27ByHand(_BY_HAND).apply(grids.events(s, d, 3)).df)
+register("fused_blend", gather(2, *JACOBI, (1, 1), bias="1", source=ORACLES["two_grid_blend"]))(lambda s, d: strategies.fuse([lib.Blend(), lib.Jacobi()], grids.events(s, d), lib.Diagnostic().apply(grids.events(s, d))).df)
+_STEPS = view(2)
+for _ in range(3):
+    _STEPS = gather(2, *JACOBI, (1, 1), "zero", bias="1", source=_STEPS)
+register("time_steps", _STEPS)(lambda s, d: strategies.iterate(lib.Jacobi("zero"), grids.events(s, d), 3, every=2).df)
+register("constant_sum", "SELECT x // 9 AS i, x % 9 AS j, CAST(2.5 * 9 AS FLOAT) AS v FROM range(63) r(x)")(lambda s, d: lib.NeighborSum("clamp", [moore()]).apply(grids.constant(s, (7, 9), 2.5)).df)
+
+
+def _raw_read(spark: SparkSession, sf_dir: str, transposed: bool) -> DataFrame:
+    """An image written as a raw file and read again."""
+    image = grids.image(spark, sf_dir)
+    path = f"{grids.shared_folder(spark)}/gridloom-image-{uuid.uuid4().hex}.raw"
+    grids.write_raw(image, path)
+    return grids.read_raw(spark, path, image.shape[1], image.shape[0], transposed).df
+
+
+register("raw_read", "SELECT event_id // 100 AS i, event_id % 100 AS j, CAST(least(floor(value), 255) AS FLOAT) AS v FROM events")(lambda s, d: _raw_read(s, d, False))
+register("raw_read_transposed", "SELECT event_id % 100 AS i, event_id // 100 AS j, CAST(least(floor(value), 255) AS FLOAT) AS v FROM events")(lambda s, d: _raw_read(s, d, True))
+
+
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trials: the type is what was timed, whole seconds how long it took."""
+    timings = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 3).alias("shape"), F.col("event_type").alias("name"), F.floor("value").cast("double").alias("seconds"))
+    return grids.trials(timings)
+
+
+register("trial_averages", "SELECT user_id % 3 AS shape, event_type AS name, avg(floor(value)) AS avg, sum(floor(value)) AS sum FROM events GROUP BY ALL")(_trials)

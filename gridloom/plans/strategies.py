@@ -1,6 +1,8 @@
-"""How a traced kernel becomes a DataFrame. All strategies give the same value at every point, halo included.
+"""How a traced kernel becomes a DataFrame. All strategies give the same value at every point, halo included: floats are
+worked on in double precision and cast once, and a lookup beyond its table raises at a computed point.
 
 window  lag and lead over each grid line; offsets along one axis only, no Python. A shuffle for each axis.
+box     sums of equal weights over a box of offsets, one axis after the other: sums over rows between. No Python.
 join    an offsets table, met with the grid by its coordinates, and a sum; plans that SQL can show.
 tile    each cell goes to every tile whose padded extent needs it (one shuffle), numpy runs the kernel in a tile.
 """
@@ -16,15 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.neighborhoods import Offset
-from gridloom.operators.grid import Grid, StencilError, visited
-from gridloom.operators.kernel import Call, Cell, Const, Expr, Lookup, Stencil, Sum, cells, to_array, to_column, walk
+from gridloom.operators.grid import Grid, StencilError, check_halo, interior, visited
+from gridloom.operators.kernel import Call, Cell, Const, Expr, Lookup, Stencil, Sum, cells, looked_up, to_array, to_column, walk
+from gridloom.sources.grids import shared_folder
 
-STRATEGIES = ("auto", "window", "join", "tile")
+STRATEGIES = ("auto", "window", "box", "join", "tile")
 #: Terms that may stand in one expression; more overflow the planner's stack.
 MOST_TERMS = 64
 #: A window's line is sorted by one task; longer lines are cut into tiles.
 LONGEST_LINE = 1_000_000
-#: Edge of a tile, by dimension: about as many cells each.
+#: Edge of a cubic tile, by dimension: about as many cells each.
 TILE_EDGE = {1: 65536, 2: 256, 3: 40}
 
 
@@ -34,9 +37,39 @@ def choose(stencil: Stencil, expr: Expr, shape: Sequence[int]) -> str:
     terms = sum(isinstance(e, Cell) for e in walk(expr))
     if one_axis and stencil.dim > 1 and stencil.boundary != "periodic" and max(stencil.halo, default=0) <= 2 and terms <= MOST_TERMS and max(shape) <= LONGEST_LINE:
         return "window"
+    if stencil.dim > 1 and stencil.boundary != "periodic" and max(shape) <= LONGEST_LINE and box_of(expr):
+        return "box"
     return "tile"
 
 
+def box_of(expr: Expr) -> tuple[float, float, list[tuple[int, int]]] | None:
+    """(bias, weight, range of offsets by axis) of a sum of equal weights over all offsets of a box of one grid."""
+    bias, weights, seen = 0, set(), []
+    for sign, term in expr.terms if isinstance(expr, Sum) else ((1, expr),):
+        weight = 1
+        if isinstance(term, Call) and term.name == "mul" and isinstance(term.args[0], Const):
+            weight, term = term.args[0].value, term.args[1]
+        if isinstance(term, Const):
+            bias += sign * weight * term.value
+        elif isinstance(term, Cell) and term.grid == 0:
+            weights.add(sign * weight)
+            seen.append(term.offset)
+        else:
+            return None
+    if len(weights) != 1 or len(seen) < 2:
+        return None
+    box = [(min(o), max(o)) for o in zip(*seen)]
+    if len(seen) != len(set(seen)) or len(seen) != np.prod([b - a + 1 for a, b in box]):
+        return None
+    return bias, weights.pop(), box
+
+
+def check_copy(stencil: Stencil, shape: Sequence[int]) -> None:
+    """A halo that is copied must leave an interior."""
+    if stencil.boundary == "copy":
+        check_halo(shape, stencil.halo)
+
+
 def apply(stencil: Stencil, grids: list[Grid], tables: Sequence[Sequence[float]], strategy: str, out_type: str | None) -> Grid:
     if strategy not in STRATEGIES:
         raise StencilError(f"strategy must be one of {', '.join(STRATEGIES)}")
@@ -45,21 +78,23 @@ def apply(stencil: Stencil, grids: list[Grid], tables: Sequence[Sequence[float]]
         raise StencilError("grid and neighborhoods must be of the same dimension")
     if any(g.shape != first.shape for g in grids):
         raise StencilError("grids must be of the same shape")
+    check_copy(stencil, first.shape)
     expr = stencil.trace(len(tables))
     integral = isinstance(first.dtype, T.IntegralType)
     if integral and out_type is None and (tables or any(isinstance(e, Const) and not float(e.value).is_integer() or isinstance(e, Call) and e.name == "div" for e in walk(expr))):
         raise StencilError("an integer grid and a kernel with fractions need an output type")
     kind = T._parse_datatype_string(out_type) if out_type else first.dtype
-    run = {"window": by_window, "join": by_join, "tile": by_tile}[choose(stencil, expr, first.shape) if strategy == "auto" else strategy]
+    run = {"window": by_window, "box": by_box, "join": by_join, "tile": by_tile}[choose(stencil, expr, first.shape) if strategy == "auto" else strategy]
     return Grid(run(stencil, expr, grids, tables, kind), first.keys, first.value, first.shape)
 
 
 def combined(grids: list[Grid]) -> DataFrame:
-    """The grids joined by their coordinates, with values v0, v1, ..."""
+    """The grids joined by their coordinates, with values v0, v1, ...; floats as doubles."""
     keys = grids[0].keys
     out = None
     for n, g in enumerate(grids):
-        df = g.df.select(*[F.col(a).alias(b) for a, b in zip(g.keys, keys)], F.col(g.value).alias(f"v{n}"))
+        value = F.col(g.value).cast("double") if isinstance(g.dtype, T.FloatType) else F.col(g.value)
+        df = g.df.select(*[F.col(a).alias(b) for a, b in zip(g.keys, keys)], value.alias(f"v{n}"))
         out = df if out is None else out.join(df, keys)
     return out
 
@@ -69,8 +104,6 @@ def finish(stencil: Stencil, grid: Grid, kind: T.DataType, value: Column, seen:
     at = visited(grid.keys, grid.shape, stencil.halo, stencil.boundary, stencil.stride)
     rest = F.lit(0)
     if stencil.boundary == "copy":
-        from gridloom.operators.grid import interior
-
         rest = F.when(interior(grid.keys, grid.shape, stencil.halo), F.lit(0)).otherwise(F.col("v0"))
     return seen.select(*grid.keys, F.when(at, value.cast(kind)).otherwise(rest.cast(kind)).alias(grid.value))
 
@@ -106,6 +139,26 @@ def by_window(stencil: Stencil, expr: Expr, grids: list[Grid], tables, kind: T.D
     return finish(stencil, grid, kind, value, seen)
 
 
+def by_box(stencil: Stencil, expr: Expr, grids: list[Grid], tables, kind: T.DataType) -> DataFrame:
+    grid, found = grids[0], box_of(expr)
+    if stencil.dim < 2:
+        raise StencilError("a grid of one line has nothing to partition by; use tile")
+    if stencil.boundary == "periodic" or not found:
+        raise StencilError("boxes are sums of equal weights over a box of offsets, not wrapped around")
+    bias, weight, box = found
+    seen = combined(grids).withColumn("total", F.col("v0"))
+    for key, (low, high), n in zip(grid.keys, box, grid.shape):
+        line = Window.partitionBy(*[k for k in grid.keys if k != key]).orderBy(key)
+        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        k, total = F.col(key), F.col("total")
+        near = F.coalesce(F.sum("total").over(line.rowsBetween(low, high)), F.lit(0))
+        # What is clamped counts as the line's end, as often as the box reaches beyond it.
+        before = F.greatest(F.lit(0), F.least(-(k + low), F.lit(high - low + 1)))
+        after = F.greatest(F.lit(0), F.least(k + high - (n - 1), F.lit(high - low + 1)))
+        seen = seen.withColumn("total", near + before * F.first(total).over(whole) + after * F.last(total).over(whole))
+    return finish(stencil, grid, kind, F.lit(bias) + F.lit(weight) * F.col("total"), seen)
+
+
 def _template(e: Expr, params: list[float], found: list[Offset]) -> Expr:
     """A term with its constants and its one neighbor made into parameters; terms alike share a template."""
     if isinstance(e, Const):
@@ -154,7 +207,7 @@ def by_join(stencil: Stencil, expr: Expr, grids: list[Grid], tables, kind: T.Dat
         if isinstance(e, Cell):
             return F.col(f"near{e.grid}" if e.offset == ("near",) else f"v{e.grid}")
         if isinstance(e, Lookup):
-            return F.get(F.array(*[F.lit(float(x)) for x in tables[e.table]]), value(e.index).cast("int"))
+            return looked_up(tables[e.table], value(e.index).cast("int"))
         if isinstance(e, Sum):
             out = F.lit(0)
             for s, t in e.terms:
@@ -175,10 +228,19 @@ class Tiling:
 
     def __init__(self, shape: Sequence[int], halo: Sequence[int], edge: int | None = None, wrap: bool = False):
         self.shape, self.halo, self.wrap = tuple(shape), tuple(halo), wrap
-        edge = edge or TILE_EDGE.get(len(shape), 16)
-        self.edge = tuple(max(1, min(edge, n)) for n in shape)
+        self.edge = tuple(max(1, min(edge, n)) for n in shape) if edge else self.edges(shape)
         self.tiles = tuple(max(1, -(-n // e)) for n, e in zip(self.shape, self.edge))
 
+    @staticmethod
+    def edges(shape: Sequence[int]) -> tuple[int, ...]:
+        """Edges of a tile of about as many cells for grids of any form: what a thin axis leaves goes to the longer ones."""
+        left = float(TILE_EDGE.get(len(shape), 16) ** len(shape))
+        out = [1] * len(shape)
+        for i, d in enumerate(sorted(range(len(shape)), key=lambda d: shape[d])):
+            out[d] = max(1, min(shape[d], round(left ** (1 / (len(shape) - i)))))
+            left /= out[d]
+        return tuple(out)
+
     def deal(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Each cell once for every tile that needs it, with the tile's numbers t0, t1, ..."""
         for d, k in enumerate(keys):
@@ -208,7 +270,8 @@ def _compute(expr: Expr, tables, arrays, low, want, shape, halo, mode: str, stri
             index.append(np.clip(to - low[d], 0, arrays[g].shape[d] - 1))
         return arrays[g][np.ix_(*index)]
 
-    value = np.broadcast_to(np.asarray(to_array(expr, cell, tables)), [b - a for a, b in want])
+    beyond: list[np.ndarray] = []  # where lookups went out of their tables
+    value = np.broadcast_to(np.asarray(to_array(expr, cell, tables, beyond)), [b - a for a, b in want])
     edge = [0] * len(shape) if mode in ("clamp", "periodic") else halo
     inside = np.ones([1] * len(shape), bool)
     lattice = np.ones([1] * len(shape), bool)
@@ -217,6 +280,9 @@ def _compute(expr: Expr, tables, arrays, low, want, shape, halo, mode: str, stri
         form = [-1 if k == d else 1 for k in range(len(shape))]
         inside = inside & ((at >= edge[d]) & (at < shape[d] - edge[d])).reshape(form)
         lattice = lattice & ((at - edge[d]) % stride == 0).reshape(form)
+    for out in beyond:
+        if (out & inside & lattice).any():
+            raise StencilError("a lookup goes beyond its table")
     here = cell(0, (0,) * len(shape))
     rest = np.where(inside, 0, here) if mode == "copy" else np.zeros_like(here)
     return np.where(inside & lattice, value, rest)
@@ -236,6 +302,8 @@ def tiled(steps: list[tuple[Stencil, Expr]], grids: list[Grid], tables, kind: T.
     wrap = any(s.boundary == "periodic" for s, _ in steps)
     if wrap and len(steps) > 1:
         raise StencilError("periodic steps are not fused")
+    for s, _ in steps:
+        check_copy(s, grid.shape)
     reach = [[sum(s.halo[d] for s, _ in steps[i:]) for d in range(grid.dim)] for i in range(len(steps) + 1)]
     reach[-1] = [0] * grid.dim
     tiling = Tiling(grid.shape, reach[0], edge, wrap)
@@ -244,6 +312,8 @@ def tiled(steps: list[tuple[Stencil, Expr]], grids: list[Grid], tables, kind: T.
     luts = [np.asarray(t, float) for t in tables]
     plain = [(e, s.halo, s.boundary, s.stride) for s, e in steps]
     many = len(grids)
+    numpy_kinds = {"bigint": "int64", "int": "int32", "float": "float32", "double": "float64"}
+    between = numpy_kinds.get(grid.dtype.simpleString(), "float64")
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         box = tiling.extent(key)
@@ -264,29 +334,29 @@ def tiled(steps: list[tuple[Stencil, Expr]], grids: list[Grid], tables, kind: T.
         for i, (expr, halo, mode, stride) in enumerate(plain):
             want = [(a, b) if i == len(plain) - 1 else (max(0, a - r), min(n, b + r)) for (a, b), r, n in zip(box, reach[i + 1], shape)]
             out = _compute(expr, luts, arrays, low, want, shape, halo, mode, stride)
+            if i < len(plain) - 1:  # as if the step's result had been a grid of its own
+                out = out.astype(between)
+                out = out.astype("float64") if between == "float32" else out
             arrays, low = [out], [a for a, _ in want]
         index = np.meshgrid(*[np.arange(a, b) for a, b in box], indexing="ij")
         return pd.DataFrame({**{k: i.reshape(-1) for k, i in zip(keys, index)}, value: arrays[0].reshape(-1)})
 
     schema = T.StructType([*[T.StructField(k, T.LongType()) for k in keys], T.StructField(value, kind)])
-    numpy_kind = {"bigint": "int64", "int": "int32", "float": "float32", "double": "float64"}[kind.simpleString()]
+    numpy_kind = numpy_kinds[kind.simpleString()]
     return dealt.groupBy(*[f"t{d}" for d in range(dim)]).applyInPandas(lambda key, rows: run(key, rows).astype({value: numpy_kind}), schema)
 
 
-def fuse(stencils: Sequence[Stencil], grid: Grid, out_type: str | None = None, edge: int | None = None) -> Grid:
-    """The stencils' composition in one shuffle, equal to running them one by one at every point."""
+def fuse(stencils: Sequence[Stencil], grid: Grid, *others: Grid, tables: Sequence[Sequence[float]] = (), out_type: str | None = None, edge: int | None = None) -> Grid:
+    """The stencils' composition in one shuffle, equal to running them one by one at every point. The first stencil may
+    take more grids, and tables."""
     kind = T._parse_datatype_string(out_type) if out_type else grid.dtype
-    return grid.like(tiled([(s, s.trace()) for s in stencils], [grid], (), kind, edge))
+    steps = [(s, s.trace(0 if i else len(tables))) for i, s in enumerate(stencils)]
+    return grid.like(tiled(steps, [grid, *others], tables, kind, edge))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` from the shared folder that the session's ``spark.checkpoint.dir`` names; a session without one, as in
-    tests, gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-"))
+    """``df`` from the shared folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

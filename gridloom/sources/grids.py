@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 from math import prod
 
@@ -83,8 +85,9 @@ def to_array(grid: Grid):
 
 def read_raw(spark: SparkSession, path: str, width: int, height: int, transposed: bool = False) -> Grid:
     """A raw grayscale file, a byte a pixel, row by row: keys (row, column), or (column, row) if ``transposed``."""
-    df = spark.read.format("binaryFile").load(path).select(F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("n"), "content")
-    byte = F.conv(F.hex(F.substring("content", F.col("n") + 1, F.lit(1))), 16, 10).cast("float")
+    bytes_ = F.transform(F.sequence(F.lit(1), F.lit(width * height)), lambda n: F.substring("content", n, F.lit(1)))
+    df = spark.read.format("binaryFile").load(path).select(F.posexplode(bytes_).alias("n", "byte"))  # pixels go on without the file
+    byte = F.conv(F.hex("byte"), 16, 10).cast("float")
     row, column = F.expr(f"n div {width}"), F.expr(f"n % {width}")
     keys, shape = ((column, row), (width, height)) if transposed else ((row, column), (height, width))
     return Grid(df.select(keys[0].alias("i"), keys[1].alias("j"), byte.alias("v")), ["i", "j"], "v", shape)
@@ -107,14 +110,40 @@ def raw_rows(grid: Grid) -> DataFrame:
 
 
 def write_raw(grid: Grid, path: str) -> None:
-    """Raw bytes at a local path; for images the driver can hold."""
+    """One raw file, a byte a pixel, at a path of any of Spark's file systems. Lines pass through the driver one by one."""
     if grid.dim != 2:
         raise StencilError("an image has two dimensions")
-    with open(path, "wb") as out:
+    spark = grid.df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
+    try:
         for row in raw_rows(grid).orderBy("row").toLocalIterator():
             out.write(row["pixels"])
-
-
-def trials(timings: DataFrame) -> DataFrame:
-    """Benchmark lines: shape, name, average and sum of the trials' seconds."""
-    return timings.groupBy("shape", "name").agg(F.avg("seconds").alias("avg"), F.sum("seconds").alias("sum"))
+    finally:
+        out.close()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it; a session on one machine
+    that names none gets a folder of its own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise StencilError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            given = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        context.setCheckpointDir(given)
+    return context.getCheckpointDir()
+
+
+def trials(timings: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    """Benchmark lines: shape, name, average and sum of the trials' seconds. ``wanted`` names must have been timed; a
+    name whose trials hold no time has an average of 0."""
+    if wanted is not None:
+        known = {r[0] for r in timings.select("name").distinct().where(F.col("name").isin(list(wanted))).collect()}
+        if missing := sorted(set(wanted) - known):
+            raise StencilError(f"no trials of {', '.join(missing)}")
+        timings = timings.where(F.col("name").isin(list(wanted)))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return timings.groupBy("shape", "name").agg(zero(F.avg("seconds")).alias("avg"), zero(F.sum("seconds")).alias("sum"))

@@ -103,7 +103,7 @@ def test_choice_of_strategy(monkeypatch):
     assert strategies.choose(s, s.trace(), (1000, 100)) == "window"
     assert strategies.choose(s, s.trace(), (10**7, 100)) == "tile"  # one task would sort a whole line
     wide = lib.NeighborSum("clamp", [moore()])
-    assert strategies.choose(wide, wide.trace(), (10, 10)) == "tile"
+    assert strategies.choose(wide, wide.trace(), (10, 10)) == "box"
 
 
 def test_periodic_extension(spark):
@@ -222,8 +222,55 @@ def test_bilateral_and_two_grids(spark):
     want = 3 * SMALL + brute(lib.NeighborSum("clamp", [von_neumann()]), SMALL * 10, [(o, 1) for o in von_neumann()])
     for strategy in ("window", "join", "tile"):
         assert (grids.to_array(lib.Blend().apply(first, second, strategy=strategy)) == want).all()
+    for strategy in ("join", "tile"):  # a difference beyond the table, at a point that is computed
+        with pytest.raises(Exception, match="beyond its table"):
+            run(lib.Bilateral(1), np.array([[0.0, 300.0], [0.0, 0.0]]), spark, tables=(fd, fs), strategy=strategy)
+
+
+def test_floats_are_alike_in_all_strategies(spark):
+    a = np.random.default_rng(8).random((6, 7, 8)).astype(np.float32) * 1000
+    for stencil, among in ((lib.HeatFlow(), ("join", "tile")), (lib.Laplacian("copy"), ("window", "join", "tile"))):
+        got = [run(stencil, a, spark, strategy=s) for s in among]
+        assert all(g.dtype == np.float32 and (g == got[0]).all() for g in got)
+    grid = grids.from_array(spark, a)
+    twice = grids.to_array(lib.HeatFlow("copy").apply(lib.HeatFlow().apply(grid)))
+    assert (grids.to_array(strategies.fuse([lib.HeatFlow(), lib.HeatFlow("copy")], grid)) == twice).all()
+
+
+@pytest.mark.parametrize("mode", ["clamp", "zero", "copy"])
+def test_boxes(spark, mode):
+    a = np.random.default_rng(9).integers(-50, 1000, (7, 9))
+    for offsets in (moore(2), moore(1), list(itertools.product((-1, 0, 1, 2), (-3, -2))), list(itertools.product((2, 3), (0,)))):
+        stencil = lib.NeighborSum(mode, [offsets])
+        assert (run(stencil, a, spark, strategy="box") == brute(stencil, a, [(o, 1) for o in offsets])).all()
+    assert strategies.box_of(lib.NeighborSum("clamp", [moore(2)]).trace()) and not strategies.box_of(lib.Jacobi().trace())
+    assert strategies.choose(lib.NeighborSum("clamp", [moore(2)]), lib.NeighborSum("clamp", [moore(2)]).trace(), (9, 9)) == "box"
+    with pytest.raises(StencilError):
+        run(lib.Jacobi(), a, spark, strategy="box")
+
+
+def test_copied_halos_leave_an_interior(spark):
     with pytest.raises(StencilError):
-        lib.check_values(grids.from_array(spark, a + 10))
+        run(lib.NeighborSum("copy", [moore(3)]), SMALL, spark)
+    with pytest.raises(StencilError):
+        strategies.fuse([lib.NeighborSum("copy", [moore(2)])], grids.from_array(spark, SMALL))
+    assert run(lib.NeighborSum("zero", [moore(3)]), SMALL, spark).sum() == 0
+
+
+def test_tiles_fill_up_on_thin_grids():
+    for shape in ((10, 10, 100_000), (100, 1000, 3), (2, 1_000_000), (300, 300), (50, 50, 50)):
+        edges = strategies.Tiling.edges(shape)
+        assert all(e <= n for e, n in zip(edges, shape)) and 40_000 < np.prod(edges) < 90_000, (shape, edges)
+
+
+def test_27_points_by_hand(spark):
+    a = np.random.default_rng(10).integers(0, 100, (4, 5, 6))
+    by_hand = run(lib.Laplacian27ByHand([8, 4, 2, 1]), a, spark)
+    assert (by_hand == run(lib.Laplacian27([8, 4, 2, 1], boundary="zero"), a, spark)).all()
+    p = (1, 2, 3)
+    near = a[0:3, 1:4, 2:5]
+    weight = np.array([[[8 >> abs(i) + abs(j) + abs(k) for k in (-1, 0, 1)] for j in (-1, 0, 1)] for i in (-1, 0, 1)])
+    assert by_hand[p] == (near * weight).sum()
 
 
 def test_raw_images(spark, tmp_path):
@@ -245,3 +292,7 @@ def test_generated_grids(spark):
     assert (grids.to_array(grids.constant(spark, (2, 3, 4))) == 1).all()
     rows = spark.createDataFrame([("8x8", "a", 1.0), ("8x8", "a", 3.0)], "shape string, name string, seconds double")
     assert grids.trials(rows).collect()[0][2:] == (2.0, 4.0)
+    empty = spark.createDataFrame([("8x8", "a", None)], "shape string, name string, seconds double")
+    assert grids.trials(empty, ["a"]).collect()[0][2:] == (0.0, 0.0)
+    with pytest.raises(StencilError):
+        grids.trials(rows, ["a", "b"])

@@ -40,6 +40,14 @@ def test_entry(spark):
     assert str(ROOT) in spark.sparkContext.environment["PYTHONPATH"]  # workers can import the package
 
 
+def test_entry_without_the_pipeline(tmp_path):
+    (tmp_path / "__spark_entry__.py").symlink_to(ROOT / "__spark_entry__.py")
+    (tmp_path / "gridloom").symlink_to(ROOT / "gridloom")
+    there = (ROOT / "gridloom" / "llm").exists()
+    code = f"import __spark_entry__ as e; q = e.queries(); assert any(k.startswith('op') for k in q) == {there} and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
 def test_entry_without_the_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "gridloom"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
