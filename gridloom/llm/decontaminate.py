@@ -10,8 +10,10 @@ Candidates are then verified by the exact shingles of both texts.
 Items are read in blocks of bounded size, each block searched against all documents by its own broadcast index.
 
 Words are lower-cased and split at ASCII white space. A document or item of fewer than ``k`` words has all of them
-as its one shingle; one without words (empty, null) has no shingle and takes part in no pair. Repeated rows are
-each reported; ties don't arise. Empty tables give an empty result. Other columns are ignored.
+as its one shingle; one without words (empty, null) has no shingle and takes part in no pair. A very long document is a
+block of its own and is searched whole. Repeated rows are each reported: a document that occurs a times and an item that
+occurs b times give the ab rows of a join. Ties don't arise: exactly 4/5 counts. Empty tables give an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +79,7 @@ def item_indexes(items: DataFrame, k: int):
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / ITEM_BLOCK_BYTES))
     for b in range(blocks):
-        rows = items.where(F.coalesce(F.pmod(F.xxhash64("item_id"), F.lit(blocks)), F.lit(0)) == b).collect()
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         yield ItemIndex([r[0] for r in rows], [r[1] for r in rows], k)
 
 

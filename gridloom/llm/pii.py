@@ -4,23 +4,28 @@ each is, and a span classifier is trained on the result. DataFrame expressions o
 Candidates are the base patterns' matches (e-mail, IP address, card, phone) and looser ones: obfuscated e-mails, IPv6,
 card-like numbers whose check digit fails, phone numbers without a country code. Five labelers vote yes, no or
 nothing: the strict pattern, a gazetteer (top-level domains, calling codes, issuer ranges, plausible first octets), the words before the
-span, its neighbouring letters, its digits' variety. The corpus is reduced to counts of vote patterns (kind x 3^5 at
-most, whatever its size), on which EM fits a prior for each kind and a confusion table for each labeler, and a logistic
-span classifier learns the posteriors from kind, votes and length class. Base spans always stay; others are added
-where the classifier gives ``ACCEPT`` or more and they overlap no base span.
+span, its neighbouring letters, its digits' variety. The corpus is reduced to counts of patterns of votes and features
+(a bounded number, whatever its size), on which EM fits a prior for each kind and a confusion table for each labeler, and
+a logistic span classifier learns the posteriors from kind and votes and from features that no labeler sees: length,
+separators, and what stands on either side. Base spans always stay; others are added where the classifier gives
+``ACCEPT`` or more and they overlap no base span.
 
 The patterns use possessive loops and ask that a match starts a run, or where the last match ended: the same matches
-as the plain patterns, without their quadratic time on long runs or their deep recursion.
+as the plain patterns, without their quadratic time on long runs or their deep recursion. Positions, overlaps and the
+redacted text come from running sums and extremes in chunks of the square root of the spans' number (``running``).
 
-Null or empty text: no spans. Positions count code points. Repeated rows are judged each. Equal starts can't occur
-within a kind. Other columns are ignored. An empty table gives an empty result.
+Null or empty text: no spans. Positions count code points. A very long text is one row as any other. Repeated rows are
+judged each. Ties: equal starts can't occur within a kind; across kinds the kinds' order decides. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +34,19 @@ from gridloom.llm.shared import documents, materialize, table
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
 BASE = {
-    "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
+    "email": rf"(?=[{LOCAL}])(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?=[0-9])(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     # Only whole runs of 13 to 19 digits: shorter or longer ones would be dropped.
-    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
+    "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
     "email": rf"(?<![{LOCAL}])[A-Za-z0-9._%+-]{{2,64}}\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]{{2,63}}(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{{2,24}}|\.[A-Za-z]{{2,24}})",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+.-])(?<!\+1\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]?[0-9])",
+    "ip": r"(?=[0-9A-Fa-f]{1,4}:)(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "phone": r"(?=[(0-9])(?<![0-9+.-])(?<!\+1\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-]?[0-9])",
 }
-#: What a text must contain before a pattern is tried.
-NEEDS = {"email": "@", "phone": "+"}
+#: What a text must contain, one of these, before a pattern is tried.
+NEEDS = {("email", False): "@", ("phone", False): "+", ("email", True): "[(", ("ip", True): ":"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
 #: Gazetteers.
 DOMAINS = "com|org|net|edu|gov|int|io|info|biz|de|fr|es|uk|eu|us|it|nl|ch|at|be|pl|se|no|dk|fi|pt|jp|cn|in|br|ca|au|mx|ru|kr"
@@ -54,6 +59,8 @@ WORDS = {
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|telefon|teléfono|téléphone|contact)\W{0,6}(?:\w+\W+){0,3}$",
 }
 LABELERS = ["strict", "gazetteer", "context", "neighbours", "variety"]
+#: What the classifier sees besides: length class, separators, and the class of the letters before and after.
+FEATURES = ["size", "separators", "before", "after"]
 ACCEPT = 0.9
 ROUNDS = 60
 
@@ -94,34 +101,61 @@ def votes(kind: str, base: Column, loose: bool, text: Column, left: Column, righ
     ]
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def running(values: Column, zero: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or extremes: ``merge`` is associative, ``zero`` its neutral value) of an array of integers. An array
+    grows by copies, so it is worked on in chunks of the square root of its length."""
+    empty = F.expr("CAST(array() AS array<int>)")
+
+    def prefix(x: Column) -> Column:
+        start = F.struct(empty.alias("out"), F.lit(zero).alias("at"))
+        return F.aggregate(x, start, lambda s, v: let(merge(s["at"], v), lambda at: F.struct(F.concat(s["out"], F.array(at)).alias("out"), at.alias("at"))), lambda s: s["out"])
+
+    def whole(x: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(x))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / wide).cast("int")), lambda j: prefix(F.slice(x, j * wide + 1, wide)))
+        return let(parts, lambda p: let(prefix(F.transform(p, lambda q: F.element_at(q, -1))), lambda tops: F.flatten(F.transform(p, lambda q, i: F.transform(q, lambda v: F.when(i == 0, v).otherwise(merge(F.get(tops, i - 1), v)))))))
+
+    return let(values, lambda x: F.when(F.size(x) == 0, empty).otherwise(whole(x)))
+
+
 def matches(kind: str, regex: str, loose: bool) -> Column:
-    """All spans that a pattern finds in ``text``, with their votes: an array of structs."""
+    """All spans that a pattern finds in ``text``, with their votes: an array of structs. The text is matched again, for
+    what lies between the matches, only where there are any."""
     text = F.col("text")
-    # The parts are bound once: what lies between matches gives positions and contexts.
-    bound = F.array(F.struct(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("m"), F.split(text, regex, -1).alias("p")))
-
-    def spans(x: Column) -> Column:
-        m, p = x["m"], x["p"]
+    side = lambda x: F.when(x == "", 0).when(x.rlike(r"^\s"), 1).when(x.rlike(r"^\w"), 2).otherwise(3).cast("tinyint")
 
-        def add(so_far: Column, i: Column) -> Column:
-            begin = so_far["at"] + F.length(F.get(p, i))
-            end = begin + F.length(F.get(m, i))
-            found = F.get(m, i)
+    def spans(m: Column, p: Column, end: Column) -> Column:
+        def span(found: Column, i: Column) -> Column:
             base = F.lit(False) if loose else strict(kind, found)
             left, right = F.right(F.get(p, i), F.lit(40)), F.left(F.get(p, i + 1), F.lit(4))
             marks = [v.cast("tinyint").alias(n) for n, v in zip(LABELERS, votes(kind, base, loose, found, left, right))]
-            span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("start"), end.alias("end"), base.alias("base"), *marks, F.least(F.length(found).cast("int") / 8, F.lit(4)).cast("int").alias("size"))
-            return F.struct(F.concat(so_far["spans"], F.array(span)).alias("spans"), end.alias("at"))
+            size = F.least(F.length(found).cast("int") / 8, F.lit(4)).cast("tinyint")
+            separators = F.least(F.length(F.regexp_replace(found, "[A-Za-z0-9]", "")), F.lit(5)).cast("tinyint")
+            own = [size, separators, side(F.right(F.get(p, i), F.lit(1))), side(right)]
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (F.get(end, i) - F.length(found)).alias("start"), F.get(end, i).alias("end"), base.alias("base"), *marks, *[c.alias(n) for n, c in zip(FEATURES, own)])
 
-        empty = F.struct(F.expr(f"CAST(array() AS array<{SPAN}>)").alias("spans"), F.lit(0).alias("at"))
-        return F.when(F.size(m) == 0, empty["spans"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), empty, add)["spans"])
+        return F.transform(m, span)
 
-    found = F.get(F.transform(bound, spans), 0)
-    need = None if loose else NEEDS.get(kind)
-    return F.when(F.contains(text, F.lit(need)), found) if need else found
+    def placed(m: Column, p: Column) -> Column:
+        steps = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
+        return let(running(steps, 0, lambda a, b: a + b), lambda end: spans(m, p, end))
 
+    found = let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, regex, -1), lambda p: placed(m, p))))
+    need = NEEDS.get((kind, loose))
+    if need:
+        there = F.lit(False)
+        for letter in need:
+            there = there | F.contains(text, F.lit(letter))
+        found = F.when(there, found)
+    return found
 
-SPAN = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{n}:tinyint" for n in LABELERS) + ",size:int>"
+
+SPAN = "struct<kind:int,start:int,end:int,base:boolean," + ",".join(f"{n}:tinyint" for n in [*LABELERS, *FEATURES]) + ">"
 
 
 def every_span() -> Column:
@@ -132,26 +166,37 @@ def every_span() -> Column:
 
 
 def parted(name: str = "all") -> Column:
-    """Of a column of spans, the ``base`` spans and the ``loose`` candidates that overlap none of them."""
+    """Of a column of spans, the ``base`` spans and the ``loose`` candidates that overlap none of them: no base span that
+    starts before ends after their start, and none that starts after starts before their end."""
+    last = 2**31 - 1
 
     def apart(x: Column) -> Column:
-        return F.filter(x["all"], lambda s: ~s["base"] & ~F.exists(x["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        ordered = F.array_sort(F.transform(x, lambda s: F.struct(s["start"].alias("at"), s.alias("s"))))
+
+        def free(o: Column) -> Column:
+            ends = running(F.transform(o, lambda e: F.when(e["s"]["base"], e["s"]["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+            starts = F.reverse(running(F.transform(F.reverse(o), lambda e: F.when(e["s"]["base"], e["at"]).otherwise(last)), last, lambda a, b: F.least(a, b)))
+            marked = lambda before, after: F.transform(o, lambda e, i: F.struct(e["s"].alias("s"), (~e["s"]["base"] & (F.get(before, i) <= e["at"]) & (F.get(after, i) >= e["s"]["end"])).alias("free")))
+            return let(ends, lambda before: let(starts, lambda after: F.transform(F.filter(marked(before, after), lambda e: e["free"]), lambda e: e["s"])))
 
-    bound = F.array(F.struct(F.col(name).alias("all"), F.filter(name, lambda s: s["base"]).alias("base")))
-    return F.get(F.transform(bound, lambda x: F.struct(x["base"].alias("base"), apart(x).alias("loose"))), 0)
+        return let(ordered, free)
+
+    all_ = F.col(name)
+    base, loose = F.filter(all_, lambda s: s["base"]), F.filter(all_, lambda s: ~s["base"])
+    return F.struct(base.alias("base"), F.when((F.size(base) == 0) | (F.size(loose) == 0), loose).otherwise(apart(all_)).alias("loose"))
 
 
 class SpanModel:
     """What EM and the logistic fit leave: weights by feature value."""
 
     def __init__(self, patterns: dict[tuple, int]):
-        """``patterns``: (kind, votes..., size class) and how often it was seen."""
+        """``patterns``: (kind, votes..., features...) and how often it was seen."""
         self.reliability, posterior = em(patterns)
         self.weights = logistic(patterns, posterior)
 
     def score(self, span: Column) -> Column:
         total = F.lit(self.weights.get(("bias", 0), 0.0))
-        for name in ["kind", *LABELERS, "size"]:
+        for name in ["kind", *LABELERS, *FEATURES]:
             known = {v: w for (n, v), w in self.weights.items() if n == name}
             value = F.lit(0.0)
             for v, w in sorted(known.items()):
@@ -197,25 +242,25 @@ def em(patterns: dict[tuple, int]) -> tuple[dict, dict[tuple, float]]:
 
 def logistic(patterns: dict[tuple, int], posterior: dict[tuple, float], steps: int = 400) -> dict[tuple, float]:
     """A ridge logistic fit of the posteriors, weighted by count, by gradient steps over the patterns."""
-    names = ["kind", *LABELERS, "size"]
-    weights: dict[tuple, float] = defaultdict(float)
-    total = sum(patterns.values()) or 1
-    rows = [([("bias", 0), *zip(names, p)], n / total, posterior[p]) for p, n in sorted(patterns.items())]
+    names = ["kind", *LABELERS, *FEATURES]
+    rows = sorted(patterns)
+    keys = sorted({("bias", 0), *((n, v) for p in rows for n, v in zip(names, p))})
+    at = {k: i for i, k in enumerate(keys)}
+    design = np.zeros((len(rows), len(keys)))
+    for r, p in enumerate(rows):
+        design[r, [at["bias", 0], *(at[k] for k in zip(names, p))]] = 1
+    share = np.array([patterns[p] for p in rows], float) / max(1, sum(patterns.values()))
+    y = np.array([posterior[p] for p in rows])
+    weights = np.zeros(len(keys))
     for _ in range(steps):
-        slope: dict[tuple, float] = defaultdict(float)
-        for keys, share, y in rows:
-            t = sum(weights[k] for k in keys)
-            e = (1 / (1 + math.exp(-max(-40.0, min(40.0, t)))) - y) * share
-            for k in keys:
-                slope[k] += e
-        for k, g in slope.items():
-            weights[k] -= 1.0 * (g + 1e-4 * weights[k])
-    return dict(weights)
+        miss = (1 / (1 + np.exp(-np.clip(design @ weights, -40, 40))) - y) * share
+        weights -= design.T @ miss + 1e-4 * weights
+    return dict(zip(keys, weights.tolist()))
 
 
 def train(found: DataFrame, name: str = "all") -> SpanModel:
     spans = found.select(parted(name).alias("x")).select(F.explode(F.concat("x.base", "x.loose")).alias("s"))
-    rows = spans.groupBy("s.kind", *[f"s.{n}" for n in LABELERS], "s.size").count().collect()  # 4 x 3^5 x 5 at most
+    rows = spans.groupBy("s.kind", *[f"s.{n}" for n in [*LABELERS, *FEATURES]]).count().collect()  # 4 x 3^5 x 5 x 6 x 4 x 4 at most
     return SpanModel({tuple(r[:-1]): r[-1] for r in rows})
 
 
@@ -228,7 +273,7 @@ def decided(model: SpanModel, name: str = "all") -> Column:
 
     def decide(x: Column) -> Column:
         added = F.filter(x["loose"], lambda s: model.score(s) >= ACCEPT)
-        return F.struct(short(x["base"]).alias("base_spans"), F.array_distinct(short(F.concat(x["base"], added))).alias("spans"))
+        return F.struct(short(x["base"]).alias("base_spans"), short(F.concat(x["base"], added)).alias("spans"))
 
     return F.get(F.transform(F.array(parted(name)), decide), 0)
 
@@ -258,16 +303,31 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets; of overlapping spans the first one."""
+    """``text`` with each span replaced by its kind in angle brackets; spans that overlap are one, named by the first."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(so_far: Column, s: Column) -> Column:
-        grown = F.struct(F.concat(so_far["out"], F.substring(text, so_far["at"] + 1, s["start"] - so_far["at"]), F.get(names, s["kind"])).alias("out"), s["end"].alias("at"))
-        return F.when(s["start"] >= so_far["at"], grown).otherwise(so_far)
+    def cut(heads: Column, tails: Column) -> Column:
+        """``heads`` are the first spans of each run that overlaps, ``tails`` where the runs end."""
+
+        def by(piece: Callable[[Column, Column], Column]) -> Column:
+            gap = lambda h, i: let(F.when(i == 0, 0).otherwise(F.get(tails, i - 1)), lambda at: piece(at, h["start"] - at))
+            parts = F.transform(heads, lambda h, i: F.concat(gap(h, i), F.get(names, h["kind"])))
+            return F.concat(F.array_join(parts, ""), let(F.element_at(tails, -1), lambda at: piece(at, F.length(text) - at)))
+
+        few = by(lambda at, n: F.substring(text, at + 1, n))  # walks from the text's start
+        many = let(F.split(text, ""), lambda letters: by(lambda at, n: F.array_join(F.slice(letters, at + 1, n), "")))
+        return F.when(F.size(heads) <= 64, few).otherwise(many)
+
+    def whole(o: Column, end: Column) -> Column:
+        heads = F.filter(o, lambda s, i: (i == 0) | (s["start"] >= F.get(end, i - 1)))
+        tails = F.filter(end, lambda e, i: (i == F.size(o) - 1) | (F.get(o, i + 1)["start"] >= e))
+        return let(heads, lambda h: let(tails, lambda t: cut(h, t)))
+
+    def ends(o: Column) -> Column:
+        return let(running(F.transform(o, lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b)), lambda e: whole(o, e))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    return F.aggregate(ordered, start, add, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, ends))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

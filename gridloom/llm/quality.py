@@ -9,8 +9,9 @@ falls under the threshold that keeps about so many. Statistics are of whole text
 Labels, language, source and id are never inputs.
 
 Null or empty text: scored, by statistics of zero. Null labels don't count; a row labelled twice counts twice. With no
-labels of one class every score is 1 or 0 by the other class, and 1/2 without any label. Repeated rows get equal
-scores. Other columns are ignored. An empty table gives an empty result.
+labels of one class every score is 1 or 0 by the other class, and 1/2 without any label. A very long text is a block of
+its own. Ties: equal statistics give equal scores, and so do repeated rows. Other columns are ignored. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,23 +92,29 @@ class Quadratic:
         return 1 / (1 + np.exp(-np.clip(t, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Quadratic:
-    if min((y == 0).sum(), (y == 1).sum()) < 2:
-        return Quadratic(np.zeros(N_STATS), np.ones(N_STATS), [], [], [], constant=float(y.mean()) if len(y) else 0.5)
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> Quadratic:
+    """``times``: how often each row counts."""
+    times = np.ones(len(y)) if times is None else times.astype(float)
+    if min(times[y == 0].sum(), times[y == 1].sum()) < 2:
+        return Quadratic(np.zeros(N_STATS), np.ones(N_STATS), [], [], [], constant=float(np.average(y, weights=times)) if len(y) else 0.5)
     order = np.lexsort((*x.T, y))  # sums don't depend on the order in which rows arrive
-    x, y = x[order], y[order]
-    center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
+    x, y, times = x[order], y[order], times[order]
+    center = np.average(x, axis=0, weights=times)
+    scale = np.maximum(np.sqrt(np.average((x - center) ** 2, axis=0, weights=times)), 1e-6)
     z = (x - center) / scale
-    parts = [z[y == c] for c in (0, 1)]
-    means = [p.mean(0) for p in parts]
-    covs = [(p - m).T @ (p - m) / len(p) for p, m in zip(parts, means)]
-    pooled = sum(c * len(p) for c, p in zip(covs, parts)) / len(z)
+    means, covs, shares = [], [], []
+    for c in (0, 1):
+        part, w = z[y == c], times[y == c]
+        means.append(np.average(part, axis=0, weights=w))
+        covs.append(((part - means[-1]) * w[:, None]).T @ (part - means[-1]) / w.sum())
+        shares.append(w.sum() / times.sum())
+    pooled = sum(c * share for c, share in zip(covs, shares))
     factors, constants = [], []
-    for p, c in zip(parts, covs):
+    for c, share in zip(covs, shares):
         shrunk = (1 - SHRINK) * c + SHRINK / 2 * (pooled + np.diag(np.diag(pooled))) + RIDGE * np.eye(len(c))
         low = np.linalg.cholesky(shrunk)
         factors.append(np.linalg.inv(low))
-        constants.append(float(np.log(len(p) / len(z)) - np.log(np.diag(low)).sum()))
+        constants.append(float(np.log(share) - np.log(np.diag(low)).sum()))
     model = Quadratic(center, scale, means, factors, constants)
     m = model.margin(x)
     unit = float(np.median(np.abs(m))) or 1.0
@@ -116,8 +123,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Quadratic:
     design = np.column_stack([t, np.ones_like(t)])
     for _ in range(50):  # Newton steps of a ridge logistic fit
         p = 1 / (1 + np.exp(-design @ w))
-        g = design.T @ (p - y) + 1e-2 * w
-        h = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        g = design.T @ (times * (p - y)) + 1e-2 * w
+        h = (design * (times * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-9:
@@ -133,19 +140,20 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Quadratic:
     """Fits on the labelled rows of the training fold."""
     labels = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").where(~held_out("label_id"))
+    labels = labels.groupBy("label_id", "quality").agg(F.count("*").alias("times"))  # an id that is repeated is one row
     there = labels.count()
     if there > rows:
         labels = labels.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int((1 << 20) * rows / there))
     docs = documents(docs)
-    labelled = docs.join(F.broadcast(labels), docs["doc_id"] == labels["label_id"]).select("text", "quality")  # about ``rows`` rows at most
+    labelled = docs.join(F.broadcast(labels), docs["doc_id"] == labels["label_id"]).select("text", "quality", "times")  # about ``rows`` labels at most
 
     def run(batch: pa.RecordBatch):
         x = statistics(*text_bytes(batch.column("text")))
-        yield {"quality": batch.column("quality"), "stats": pa.array(x.tolist(), pa.list_(pa.float64()))}
+        yield {"quality": batch.column("quality"), "times": batch.column("times"), "stats": pa.array(x.tolist(), pa.list_(pa.float64()))}
 
-    got = map_arrow(labelled, run, "quality int, stats array<double>").toArrow()
+    got = map_arrow(labelled, run, "quality int, times long, stats array<double>").groupBy("quality", "stats").agg(F.sum("times").alias("times")).toArrow()  # equal texts are one row
     x = np.array(got["stats"].to_pylist(), float).reshape(-1, N_STATS)
-    return fit(x, got["quality"].to_numpy())
+    return fit(x, got["quality"].to_numpy(), got["times"].to_numpy())
 
 
 def score(docs: DataFrame, model: Quadratic) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from gridloom.llm import decontaminate, neighbours, packing, pii, quality, similarity_join, substring_dedup, token_counts, token_files, url_filters
 
 QUERIES = {
@@ -16,8 +15,5 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_substring_dedup": substring_dedup.SQL, "op4_decontaminate": decontaminate.SQL, "op5_jaccard_join": similarity_join.SQL}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -3,13 +3,18 @@
 Everything is DataFrame expressions. URLs that a rule decides are the labelled ones; the trees learn from them (up
 to about ``FIT_ROWS``, by hash threshold) and judge the rest. Each feature is cut into bins by fixed edges. A tree
 grows level by level: one aggregation gives gradients and Hessians by node, feature and bin (a table whose size
-doesn't depend on the rows), the driver picks the splits, and the tree becomes a CASE expression. Block rates of
-suffixes and path sections are tables of all labelled values, joined by key. Scoring is one projection.
+doesn't depend on the rows), the driver picks the splits of all nodes of a level, and the tree becomes a CASE
+expression. Scoring is one projection.
+
+Suffixes and path sections enter as block rates, tables of all labelled values joined by key. The rules test the same
+parts of a URL, so a rate that had seen a URL's own label would hand that label to the trees: a training URL gets the
+rates of the other ``FOLDS - 1`` folds, by a hash of its host, so that copies of a host are of one fold. URLs of values that no
+labelled URL has get the overall rate, and are judged by their shape.
 
 Null url, or one without ``://``: host and path are empty, no rule fits, the trees judge it by its features (all zero
 for null). With no labelled URLs, or those of one class only, every undecided URL gets that class (allow without any).
-Repeated rows are judged each; equal gains are broken by feature and bin. Other columns are ignored. An empty table
-gives an empty result.
+A very long url is one row as any other. Repeated rows are judged each; equal gains are broken by feature and bin, rules
+of equal length by their order. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import materialize, table
 
-FIT_ROWS = 50_000
+FIT_ROWS, FOLDS = 50_000, 5
 TREES, DEPTH, RATE, RIDGE = 10, 3, 0.3, 1.0
 #: Rules as (verdict, domain, start of the path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -114,10 +119,13 @@ def case(tree, leaf=lambda x: F.lit(float(x))) -> Column:
     return F.when(F.col(feature) <= edge, case(left, leaf)).otherwise(case(right, leaf))
 
 
-def _rates(rows: DataFrame, column: str, prior: float) -> DataFrame:
-    """Block rates of all values of ``column``."""
-    rate = (F.sum("y") + 20 * prior) / (F.count("*") + 20)
-    return materialize(rows.groupBy(column).agg(rate.alias(f"{column}_block_rate")), f"url-{column}")
+def _rates(rows: DataFrame, column: str, prior: float) -> tuple[DataFrame, DataFrame]:
+    """Block rates of all values of ``column``: of all rows, and for each fold of the rows outside it."""
+    by_fold = materialize(rows.groupBy(column, "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")), f"url-{column}")
+    whole = by_fold.groupBy(column).agg(F.sum("y").alias("all_y"), F.sum("n").alias("all_n"))
+    rate = lambda y, n: ((y + 20 * prior) / (n + 20)).alias(f"{column}_block_rate")
+    y, n = F.col("all_y"), F.col("all_n")
+    return whole.select(column, rate(y, n)), by_fold.join(whole, column).select(column, "fold", rate(y - F.col("y"), n - F.col("n")))
 
 
 def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Filter:
@@ -127,15 +135,20 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Filter:
     if there[0] == 0 or there[1] in (0, there[0]):
         return Filter(0.5, {}, [], "block" if there[0] and there[1] else "allow")
     labelled = labelled.withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
+    labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
     prior = there[1] / there[0]
     model = Filter(prior, {}, [])
-    model.rates = {c: _rates(labelled, c, prior) for c in ("suffix", "section")}  # of all labelled rows
+    outside = {}
+    for c in ("suffix", "section"):  # of all labelled rows
+        model.rates[c], outside[c] = _rates(labelled, c, prior)
     if there[0] > rows:
         labelled = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 20)) < int((1 << 20) * rows / there[0]))
+    for c, rates in outside.items():
+        labelled = labelled.join(rates, [c, "fold"])
     names = list(EDGES)
     binned = [sum(((F.col(f) > float(e)).cast("int") for e in EDGES[f]), F.lit(0)) for f in names]
     base = math.log(prior / (1 - prior))
-    data = materialize(model.features(labelled).select("y", *names, F.array(*binned).alias("bins")), "url-fit")
+    data = materialize(labelled.select("y", *names, F.array(*binned).alias("bins")), "url-fit")
     model.trees.append(base)
     for _ in range(TREES):
         margin = sum((case(t) for t in model.trees[1:]), F.lit(base))
@@ -146,40 +159,42 @@ def train(labelled: DataFrame, rows: int = FIT_ROWS) -> Filter:
 
 
 def _grow(data: DataFrame, names: list[str]):
-    """One tree: a level per aggregation."""
+    """One tree: an aggregation a level. A split gives its children's sums, so leaves need none."""
     splits: dict[int, tuple[str, float]] = {}  # node (root 1, children 2n and 2n + 1)
-    values: dict[int, float] = {}
+    sums: dict[int, tuple[float, float]] = {}
 
     def subtree(node, leaf):
         return (*splits[node], subtree(2 * node, leaf), subtree(2 * node + 1, leaf)) if node in splits else leaf(node)
 
     frontier = [1]
-    for level in range(DEPTH + 1):
+    for _ in range(DEPTH):
         at = case(subtree(1, lambda n: n), lambda n: F.lit(int(n)))
-        sums = data.select(at.alias("node"), "g", "hess", F.posexplode("bins").alias("f", "b")).where(F.col("node").isin(frontier)).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("hess").alias("h"))
-        got = {(r["node"], r["f"], r["b"]): (r["g"], r["h"]) for r in sums.collect()}  # nodes x features x bins at most
+        binned = data.select(at.alias("node"), "g", "hess", F.posexplode("bins").alias("f", "b")).where(F.col("node").isin(frontier)).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("hess").alias("h"))
+        got = {(r["node"], r["f"], r["b"]): (r["g"], r["h"]) for r in binned.collect()}  # nodes x features x bins at most
         grown = []
         for node in frontier:
-            total = [sum(v[i] for (n, f, _), v in got.items() if n == node and f == 0) for i in (0, 1)]
-            values[node] = -RATE * total[0] / (total[1] + RIDGE)
-            best = (1e-6, None)
-            for f, name in enumerate(names if level < DEPTH else []):
+            if node not in sums:
+                sums[node] = tuple(sum(v[i] for (n, f, _), v in got.items() if n == node and f == 0) for i in (0, 1))
+            all_g, all_h = sums[node]
+            best = (1e-6, None, None)
+            for f, name in enumerate(names):
                 g = h = 0.0
                 for b, edge in enumerate(EDGES[name]):
                     dg, dh = got.get((node, f, b), (0.0, 0.0))
                     g, h = g + dg, h + dh
-                    if min(h, total[1] - h) < 1:
+                    if min(h, all_h - h) < 1:
                         continue
-                    gain = g * g / (h + RIDGE) + (total[0] - g) ** 2 / (total[1] - h + RIDGE) - total[0] ** 2 / (total[1] + RIDGE)
+                    gain = g * g / (h + RIDGE) + (all_g - g) ** 2 / (all_h - h + RIDGE) - all_g**2 / (all_h + RIDGE)
                     if gain > best[0] + 1e-9:
-                        best = (gain, (name, float(edge)))
+                        best = (gain, (name, float(edge)), (g, h))
             if best[1]:
                 splits[node] = best[1]
+                sums[2 * node], sums[2 * node + 1] = best[2], (all_g - best[2][0], all_h - best[2][1])
                 grown += [2 * node, 2 * node + 1]
         frontier = grown
         if not frontier:
             break
-    return subtree(1, lambda n: values[n])
+    return subtree(1, lambda n: -RATE * sums[n][0] / (sums[n][1] + RIDGE))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
