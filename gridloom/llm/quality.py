@@ -117,7 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> Quadra
         constants.append(float(np.log(share) - np.log(np.diag(low)).sum()))
     model = Quadratic(center, scale, means, factors, constants)
     m = model.margin(x)
-    unit = float(np.median(np.abs(m))) or 1.0
+    unit = float(np.average(np.abs(m), weights=times)) or 1.0
     t = np.clip(m / unit, -30, 30)
     w = np.zeros(2)
     design = np.column_stack([t, np.ones_like(t)])

@@ -34,10 +34,11 @@ def test_neighbours_are_found(spark):
     a = r.normal(size=(900, 16)).astype(np.float32)
     a[300:600] = a[300]  # a vector that a third of the rows share
     a[600:610] *= 5  # norms differ
-    odd = [(2000, None, 0.0, ""), (2020, [0.0] * 16, 0.0, ""), (2040, [float("nan")] + [1.0] * 15, 0.0, ""), (2060, [1.0, None] + [1.0] * 14, 0.0, ""), (None, [1.0] * 16, 0.0, ""), (2080, [1.0], 0.0, "")]
+    odd = [(2000, None, 0.0, ""), (2020, [0.0] * 16, 0.0, ""), (2040, [float("nan")] + [1.0] * 15, 0.0, ""), (2060, [1.0, None] + [1.0] * 14, 0.0, ""), (None, [1.0] * 16, 0.0, ""), (2081, [1.0], 0.0, "")]
     rows = [(i, v.tolist(), 0.0, "") for i, v in enumerate(a)]
     got = neighbours.search(vectors(spark, rows + odd)).collect()
-    x = a.astype(float)
+    x = np.vstack([a.astype(float), np.zeros((1182, 16))])
+    x[2081, 0] = 1.0  # followed by zeros
     by = {}
     for g in got:
         by.setdefault(g.query_id, []).append(g)
@@ -45,7 +46,7 @@ def test_neighbours_are_found(spark):
     hits = []
     for q, found in by.items():
         s = (x * x[q]).sum(1)
-        order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:20]
+        order = [i for i in np.lexsort((np.arange(2082), -s)) if i != q and (i < 900 or i == 2081)][:20]
         found = sorted(found, key=lambda g: g.rank)
         assert [g.rank for g in found] == list(range(1, 21)) and all(abs(g.score - s[g.vec_id]) < 1e-12 * max(1, abs(s[g.vec_id])) for g in found)
         assert found == sorted(found, key=lambda g: (-g.score, g.vec_id)) and q not in {g.vec_id for g in found}
@@ -59,6 +60,26 @@ def test_neighbours_of_few_or_no_rows(spark):
     assert neighbours.search(vectors(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0], 0.0, ""), (20, [0.0, 1.0], 0.0, ""), (20, [0.0, 1.0], 0.0, ""), (7, [0.5, 0.25], 0.0, "")]
+    got = Counter((g.query_id, g.rank, g.vec_id, g.score) for g in neighbours.search(vectors(spark, rows)).collect())
+    first = [(20, 1, 7, 0.5), (20, 2, 20, 0.0), (20, 3, 20, 0.0)]
+    second = [(20, 1, 20, 1.0), (20, 2, 7, 0.25), (20, 3, 20, 0.0)]
+    assert got == Counter([*first, *second, *second])
+
+
+def test_small_leaves_and_large_pages_give_enough_rows(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 8)) * 10
+    x = np.concatenate([centres[i] + r.normal(size=(9, 8)) * 0.01 for i in range(40)])
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 4)
+    monkeypatch.setattr(neighbours, "PAGE_ROWS", 20)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "calibrate", lambda *a: 1)  # a walk goes on until there are enough
+    got = Counter(g.query_id for g in neighbours.search(vectors(spark, [(i, v.tolist(), 0.0, "") for i, v in enumerate(x)])).collect())
+    assert got == {i: 20 for i in range(0, 360, 20)}
+
+
 def test_registered_neighbours_reach_the_recall(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").collect()
     x = np.array([r.embedding for r in rows], float)
@@ -112,6 +133,63 @@ def test_trees_learn_the_rules(spark):
     assert len(test) > 200 and np.mean([r.p == r.y for r in test]) > 0.85
 
 
+def test_trees_judge_suffixes_that_no_rule_has(spark):
+    """Blocked URLs have long digits; suffixes of the judged ones were never labelled."""
+    url = lambda i, suffix: f"http://h{i % 50}.{suffix}/{'p/' + str(10**9 + i * 7919) if i % 2 else 'words-of-a-title'}"
+    rules = [("block", "com", "/p/"), ("allow", "com", "/w"), ("block", "fr", "/p/"), ("allow", "fr", "/w")]
+    rows = [(i, url(i, "com" if i % 3 else "fr")) for i in range(600)] + [(1000 + i, url(i, ("xyz", "dev")[i % 3 % 2])) for i in range(200)]
+    got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    unseen = [got[1000 + i] for i in range(200)]
+    assert all(r.rule is None for r in unseen) and np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in unseen]) > 0.95
+
+
+def test_rates_leave_out_a_urls_own_fold(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(f"s{i % 3}", i % 2 * 1.0, i % 5) for i in range(300)], "suffix string, y double, fold long")
+    whole, outside = url_filters._rates(rows, "suffix", 0.5)
+    data_ = [(f"s{i % 3}", i % 2, i % 5) for i in range(300)]
+    for r in outside.collect():
+        mine = [y for s, y, f in data_ if s == r.suffix and f != r.fold]
+        assert abs(r.suffix_block_rate - (sum(mine) + 10) / (len(mine) + 20)) < 1e-12
+    assert whole.where(F.abs(F.col("suffix_block_rate") - 0.5) > 1e-12).count() == 0 and outside.count() == 15
+
+
+def test_a_tree_by_exhaustive_search(spark):
+    """Every split of a tree against a search over all features and edges on the rows."""
+    r = np.random.default_rng(4)
+    names = list(url_filters.EDGES)
+    x = np.column_stack([r.choice([*url_filters.EDGES[f], url_filters.EDGES[f][-1] + 1], 400) for f in names]).astype(float)
+    y = (x[:, 0] + r.normal(size=400) * 10 > 45).astype(float)
+    g, h = 0.4 - y, np.full(400, 0.24)
+
+    def grow(rows, depth):
+        total = g[rows].sum(), h[rows].sum()
+        best = (1e-6, None)
+        for f, name in enumerate(names if depth else []):
+            for edge in url_filters.EDGES[name]:
+                left = rows[x[rows, f] <= edge]
+                a, b = g[left].sum(), h[left].sum()
+                if min(b, total[1] - b) < 1:
+                    continue
+                gain = a * a / (b + url_filters.RIDGE) + (total[0] - a) ** 2 / (total[1] - b + url_filters.RIDGE) - total[0] ** 2 / (total[1] + url_filters.RIDGE)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (f, edge))
+        if best[1] is None:
+            return -url_filters.RATE * total[0] / (total[1] + url_filters.RIDGE)
+        f, edge = best[1]
+        return (names[f], float(edge), grow(rows[x[rows, f] <= edge], depth - 1), grow(rows[x[rows, f] > edge], depth - 1))
+
+    bins = [[int(sum(v > e for e in url_filters.EDGES[f])) for f, v in zip(names, row)] for row in x]
+    table = spark.createDataFrame([(float(a), float(b), c, *map(float, row)) for a, b, c, row in zip(g, h, bins, x)], "g double, hess double, bins array<int>, " + ", ".join(f"{n} double" for n in names))
+    want, got = grow(np.arange(400), url_filters.DEPTH), url_filters._grow(table, names)
+
+    def alike(a, b):
+        return a[:2] == b[:2] and alike(a[2], b[2]) and alike(a[3], b[3]) if isinstance(a, tuple) and isinstance(b, tuple) else abs(a - b) < 1e-9
+
+    assert alike(want, got), (want, got)
+
+
 def test_urls_without_labels(spark):
     one = spark.createDataFrame([(1, "http://x.net/a")], "page_id long, url string")
     assert [r.verdict for r in url_filters.judge(one).collect()] == ["allow"]
@@ -157,6 +235,30 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_discriminant_by_dense_algebra():
+    """Margins and scores against log densities from determinants and inverses, with weights as repeated rows."""
+    r = np.random.default_rng(6)
+    n = quality.N_STATS
+    x = np.concatenate([r.normal(size=(80, n)), r.normal(size=(60, n)) * 1.5 + 0.7])
+    y = np.repeat([0, 1], [80, 60])
+    times = r.integers(1, 4, 140)
+    model = quality.fit(x, y, times)
+    rows, labels = np.repeat(x, times, axis=0), np.repeat(y, times)
+    z = (rows - rows.mean(0)) / rows.std(0)
+    parts = [z[labels == c] for c in (0, 1)]
+    covs = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(c * len(p) for c, p in zip(covs, parts)) / len(z)
+    q = (x - rows.mean(0)) / rows.std(0)
+    log = []
+    for p, c in zip(parts, covs):
+        s = (1 - quality.SHRINK) * c + quality.SHRINK / 2 * (pooled + np.diag(np.diag(pooled))) + quality.RIDGE * np.eye(n)
+        d = q - p.mean(0)
+        log.append(np.log(len(p) / len(z)) - np.linalg.slogdet(s)[1] / 2 - np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) / 2)
+    assert np.allclose(model.margin(x), log[1] - log[0])
+    again = quality.fit(rows, labels)
+    assert np.allclose(model.score(x), again.score(x), atol=1e-6)
+
+
 # ---- the pipeline
 
 
@@ -196,7 +298,10 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in registry.QUERIES] == [*(f"op{n}" for n in range(1, 11)), "pipeline"]
+    import __spark_entry__ as entry
+
+    assert [k.split("_")[0] for k in registry.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert {*registry.QUERIES, "pipeline"} <= set(entry.queries())
 
 
 def test_decontamination_matches_its_sql(spark):
