@@ -137,7 +137,7 @@ def _sweeps(width: int, shortest: int):
 def superstep(spark: SparkSession, runs: list[tuple], width: int, shortest: int) -> list[tuple]:
     """The runs after one super-step over the pieces longer than ``shortest``: swept in ranges of size, then across."""
     near = spark.createDataFrame(runs, RUNS).repartitionByRange(RANGES, "size").mapInArrow(_sweeps(width, shortest), RUNS)
-    return [tuple(r) for r in near.coalesce(1).mapInArrow(_sweeps(width, shortest), RUNS).collect()]  # bounded by the width
+    return [tuple(r) for r in near.repartition(1).mapInArrow(_sweeps(width, shortest), RUNS).collect()]  # bounded by the width
 
 
 def match(spark: SparkSession, counts: dict[int, int], width: int = WIDTH) -> dict[int, list[tuple[int, int, int, int]]]:
