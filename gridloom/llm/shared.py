@@ -6,8 +6,10 @@ bytes is part of a longer character, so the words of the bytes are the words of
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -225,10 +227,15 @@ def word_set(text: str, k: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
+_freed = 0.0
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more; else they wait for the
-    driver's next full collection, and a job of several phases holds the disk of all of them."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver's next full collection, and a job of several phases holds the disk of all of them. Phases of a moment leave
+    little, so they share a collection."""
+    global _freed
+    if time.monotonic() - _freed > 5:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed = time.monotonic()

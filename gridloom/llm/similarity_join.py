@@ -5,11 +5,15 @@ Documents are sets of word shingles; those with equal sets form a class, and wha
 the same ones in every set they belong to. In buckets of up to ``BUCKET`` sets all pairs are tried, by size and by a
 256-bit minwise sketch whose bound a pair of the asked similarity fails with a chance of about 1e-6; of the pairs found a
 bucket gives one edge a set, to the first of those it hangs together with. Larger buckets are split again by shingles
-sampled for the path so far, as deep as it takes:
+sampled for the path so far, as deep as it takes; from level to level rows become fewer and the size of buckets that are
+tried pair by pair grows (``WIDER``, up to ``WIDEST``), so that few levels settle them:
 
 - Each large bucket's first member is its centre. Members that differ from it by up to ``NEAR`` bits get an edge to it.
 - Members within ``SAME`` bits go no deeper: what is within ``DIFFER`` bits of such a member is within SAME + DIFFER =
-  NEAR of the centre (bits that differ are a metric), so it has its edge already. Where all members are near, none goes deeper.
+  NEAR of the centre (bits that differ are a metric), so it has its edge already.
+- The edges found so far are contracted to groups after each level, and a bucket all of whose members are of one group
+  is settled. So near copies, which share most of their shingles at any depth, go no deeper, and texts that share a
+  line alone are split by their other shingles.
 
 A pair at the threshold is missed by a run that ends at the first level with a chance of about 1/4, at the second 1/2; by
 all runs with about 1e-7 and 1e-3. How much is found is measured: the links of ``CALIBRATION`` documents to all others
@@ -44,6 +48,8 @@ from gridloom.llm.shared import Words, discard, documents, map_arrow, materializ
 
 SHINGLE = 5
 RUNS, BUCKET = 12, 48
+#: Buckets that are tried pair by pair are so many times as large a level deeper, up to a size that is a second's work.
+WIDER, WIDEST = 4, 3072
 SAMPLED, SAMPLED_DEEPER = 1.5, 1.25
 #: Differing bits that a pair may have. At similarity 0.8 a bit differs with a chance of 0.1.
 BITS, DIFFER = 256, 50
@@ -142,24 +148,36 @@ def differing(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)])
 
 
-def bucketed(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one class, once each, with their ``size``; in large buckets with the centre ``b``
-    and the bits in which they ``differ`` from it. Rows of a hot path are counted before they are shuffled, and joined
-    with one row a path, which Spark can split."""
+def bucketed(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of buckets that hold more than one class, once each, with their ``size``; in buckets of more than ``most`` with
+    the centre ``b`` and the bits in which they ``differ`` from it. Rows of a hot path are counted before they are
+    shuffled, and joined with one row a path, which Spark can split."""
     bits = [F.col(c) for c in WORDS]
     once = rows.groupBy("path", "v").agg(*[F.first(c).alias(c) for c in ("n", *WORDS)])
-    sizes = once.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct("v", *WORDS)).alias("first"), F.max("n").alias("most")).where("size > 1 AND most IS NOT NULL")
-    sizes = sizes.select("path", "size", F.when(F.col("size") > BUCKET, F.col("first")).alias("first"))
+    sizes = once.groupBy("path").agg(F.count("*").alias("size"), F.min(F.struct("v", *WORDS)).alias("first"), F.max("n").alias("probe")).where("size > 1 AND probe IS NOT NULL")
+    sizes = sizes.select("path", "size", F.when(F.col("size") > most, F.col("first")).alias("first"))
     met = once.join(sizes, "path")
     return met.select("path", "v", "n", *WORDS, "size", F.col("first.v").alias("b"), differing(bits, [F.col(f"first.{c}") for c in WORDS]).alias("differ"))
 
 
-def edges_of(path: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def settled(label: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Each row's smallest row that the pairs, and the labels so far, connect it with."""
+    a, b = np.concatenate([np.arange(len(label)), *a]), np.concatenate([label, *b])
+    while True:
+        least = np.minimum(label[a], label[b])
+        if (label[a] == least).all() and (label[b] == least).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+
+
+def edges_of(path: np.ndarray, n: np.ndarray, bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Within runs of equal paths, all pairs are tried; of what hangs together each row gets an edge to the first."""
-    label = np.arange(len(path))
+    label, held = np.arange(len(path)), 0
     left, a, b = label[:-1], [], []
-    for off in range(1, BUCKET):
-        left = left[: len(path) - off] if len(left) and left[-1] + off >= len(path) else left
+    for off in range(1, most):
         left = left[left + off < len(path)]
         left = left[path[left] == path[left + off]]
         if not len(left):
@@ -170,20 +188,16 @@ def edges_of(path: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndar
         near = np.bitwise_count(bits[i] ^ bits[j]).sum(1) <= DIFFER
         a.append(i[near])
         b.append(j[near])
-    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a, b))
-    while True:
-        least = np.minimum(label[a], label[b])
-        if (label[a] == least).all() and (label[b] == least).all():
-            break
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
+        held += len(a[-1])
+        if held > 1_000_000:  # pairs become labels before they fill the memory
+            label, a, b, held = settled(label, a, b), [], [], 0
+    label = settled(label, a, b)
     hung = np.flatnonzero(label != np.arange(len(path)))
     return hung, label[hung]
 
 
-def small_edges(rows: DataFrame) -> DataFrame:
-    """Edges ``a, b`` of buckets of up to ``BUCKET`` sets."""
+def small_edges(rows: DataFrame, most: int) -> DataFrame:
+    """Edges ``a, b`` of buckets of up to ``most`` sets."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -196,7 +210,7 @@ def small_edges(rows: DataFrame) -> DataFrame:
             if end < len(path):
                 held.extend(whole.slice(end).to_batches())
             v, bits = whole["v"], np.column_stack([whole[c].to_numpy()[:end] for c in WORDS]).view(np.uint64)
-            a, b = edges_of(path[:end], whole["n"].to_numpy()[:end].astype(np.int64), bits)
+            a, b = edges_of(path[:end], whole["n"].to_numpy()[:end].astype(np.int64), bits, most)
             if len(a):
                 yield from pa.table({"a": v.take(pa.array(a)), "b": v.take(pa.array(b))}).to_batches()
 
@@ -210,27 +224,30 @@ def small_edges(rows: DataFrame) -> DataFrame:
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("path", "v", "n", *WORDS).repartition(tasks, "path").sortWithinPartitions("path", "v")
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
-def candidate_edges(docs: DataFrame, where: DataFrame, batch_of_runs: int) -> DataFrame:
-    """Edges that one batch of runs finds. ``where``: the classes ``v`` with the document (d, h) that stands for each."""
-    rows = first_paths(docs, batch_of_runs)
-    found, contents = [], None
+def candidate_groups(docs: DataFrame, where: DataFrame, batch_of_runs: int, groups: DataFrame | None) -> DataFrame:
+    """``v, label``: the ``groups`` so far, with those that one more batch of runs finds. ``where``: the classes ``v`` with
+    the document (d, h) that stands for each."""
+    rows, contents, most = first_paths(docs, batch_of_runs), None, BUCKET
     while True:
-        rows = materialize(bucketed(rows), "buckets")
-        large = rows.where(F.col("size") > BUCKET)
-        found.append(materialize(small_edges(rows.where(F.col("size") <= BUCKET)), "small-edges"))
-        found.append(materialize(large.where((F.col("v") != F.col("b")) & (F.col("differ") <= NEAR)).select(F.col("v").alias("a"), "b").distinct(), "large-edges"))
-        unsettled = large.groupBy("path").agg(F.max("differ").alias("reach")).where(F.col("reach") > NEAR).select("path")
+        rows = materialize(bucketed(rows, most), "buckets")
+        large = rows.where(F.col("size") > most)
+        edges = small_edges(rows.where(F.col("size") <= most), most).unionByName(large.where((F.col("v") != F.col("b")) & (F.col("differ") <= NEAR)).select(F.col("v").alias("a"), "b"))
+        if groups is not None:
+            edges = edges.unionByName(groups.select(F.col("v").alias("a"), F.col("label").alias("b")))
+        groups = components(edges)
+        grouped = large.select("path", "v", "differ").join(groups, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        unsettled = grouped.groupBy("path").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("path")
         rest = large.where(F.col("differ") > SAME).select("path", "v").join(unsettled, "path")
         asked = materialize(rest.groupBy("v").agg(F.collect_list("path").alias("paths")), "asked")  # some SAMPLED x RUNS paths
         discard(rows)
         if asked.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            return groups
         if contents is None:  # those that go deeper are among these
             contents = contents_of(asked.select("v"), docs, where)
-        rows = next_paths(asked.join(contents, "v"))
+        rows, most = next_paths(asked.join(contents, "v")), min(WIDER * most, max(WIDEST, BUCKET))
 
 
 def contents_of(wanted: DataFrame, docs: DataFrame, where: DataFrame) -> DataFrame:
@@ -400,10 +417,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     groups, batch_of_runs = None, 0
     while True:
-        edges = candidate_edges(docs, named, batch_of_runs)
-        if groups is not None:
-            edges = edges.unionByName(groups.select(F.col("v").alias("a"), F.col("label").alias("b")))
-        groups = components(edges)
+        groups = candidate_groups(docs, named, batch_of_runs, groups)
         met = truth.join(groups, "v", "left").join(groups.select(F.col("v").alias("b"), F.col("label").alias("other")), "b", "left")
         true, reached = met.agg(F.count("*"), F.count(F.when(F.col("label") == F.col("other"), 1))).first()
         batch_of_runs += 1
