@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Sequence
-from math import prod
+from math import isqrt, log2, prod
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.grid import Grid, StencilError
 
+#: A piece of a raw file that is read at once.
+MOST_BYTES = 1 << 24
 #: Keys of the views over ``events``, as expressions of the event's number.
 EVENT_KEYS = {
     1: {"x": "event_id"},
@@ -83,14 +85,36 @@ def to_array(grid: Grid):
     return out
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as the session's settings give it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _piece(length: int) -> int:
+    """A divisor of a file's length, as near to 64 KB as there is, and at most 16 MB: pieces of equal length that fill the file."""
+    small = (d for d in range(1, min(isqrt(length), MOST_BYTES) + 1) if length % d == 0)
+    return min((d for s in small for d in (s, length // s) if d <= MOST_BYTES), key=lambda d: abs(log2(d) - 16), default=1)
+
+
 def read_raw(spark: SparkSession, path: str, width: int, height: int, transposed: bool = False) -> Grid:
-    """A raw grayscale file, a byte a pixel, row by row: keys (row, column), or (column, row) if ``transposed``."""
-    bytes_ = F.transform(F.sequence(F.lit(1), F.lit(width * height)), lambda n: F.substring("content", n, F.lit(1)))
-    df = spark.read.format("binaryFile").load(path).select(F.posexplode(bytes_).alias("n", "byte"))  # pixels go on without the file
-    byte = F.conv(F.hex("byte"), 16, 10).cast("float")
+    """A raw grayscale file, a byte a pixel, row by row: keys (row, column), or (column, row) if ``transposed``. A task reads
+    about a megabyte of it. Bytes beyond the image are ignored, points beyond the file's end are left out."""
+    at, files = _hadoop_path(spark, path)
+    piece = _piece(files.getFileStatus(at).getLen())
+    pieces = spark.sparkContext.newAPIHadoopFile(
+        path.replace(",", r"{\,}"),  # Hadoop takes a bare comma for the end of a path
+        "org.apache.spark.input.FixedLengthBinaryInputFormat",
+        "org.apache.hadoop.io.LongWritable",  # the piece's number in the file
+        "org.apache.hadoop.io.BytesWritable",
+        conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(piece), "mapreduce.input.fileinputformat.split.maxsize": str(1 << 20)},
+    )
+    letters = F.split(F.decode("bytes", "ISO-8859-1"), "")  # once a piece: a substring for each pixel would copy the piece each time
+    df = spark.createDataFrame(pieces, "piece bigint, bytes binary", verifySchema=False).where(F.col("piece") * piece < width * height)
+    df = df.select("piece", F.posexplode(letters).alias("at", "letter")).select((F.col("piece") * piece + F.col("at")).alias("n"), F.ascii("letter").cast("float").alias("v")).where(F.col("n") < width * height)
     row, column = F.expr(f"n div {width}"), F.expr(f"n % {width}")
     keys, shape = ((column, row), (width, height)) if transposed else ((row, column), (height, width))
-    return Grid(df.select(keys[0].alias("i"), keys[1].alias("j"), byte.alias("v")), ["i", "j"], "v", shape)
+    return Grid(df.select(keys[0].alias("i"), keys[1].alias("j"), "v"), ["i", "j"], "v", shape)
 
 
 def renormalise(result: Grid, before: Grid) -> Grid:
@@ -110,15 +134,20 @@ def raw_rows(grid: Grid) -> DataFrame:
 
 
 def write_raw(grid: Grid, path: str) -> None:
-    """One raw file, a byte a pixel, at a path of any of Spark's file systems. Lines pass through the driver one by one."""
+    """One raw file, a byte a pixel, at a path of any of Spark's file systems. Lines pass through the driver, a megabyte or
+    a line at a time."""
     if grid.dim != 2:
         raise StencilError("an image has two dimensions")
-    spark = grid.df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
+    at, files = _hadoop_path(grid.df.sparkSession, path)
+    out = files.create(at)
+    waiting = bytearray()
     try:
         for row in raw_rows(grid).orderBy("row").toLocalIterator():
-            out.write(row["pixels"])
+            waiting += row["pixels"]
+            if len(waiting) >= 1 << 20:  # a call of the JVM costs more than a line
+                out.write(waiting)
+                waiting = bytearray()
+        out.write(waiting)
     finally:
         out.close()
 

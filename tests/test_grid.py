@@ -286,6 +286,27 @@ def test_raw_images(spark, tmp_path):
     assert (abs(scaled - pixels) <= 1).all()
 
 
+def test_large_raw_images_are_read_in_pieces(spark, tmp_path):
+    pixels = np.random.default_rng(3).integers(0, 256, (1500, 1000)).astype(np.uint8)
+    path = tmp_path / "large,image.raw"
+    path.write_bytes(pixels.tobytes())
+    grid = grids.read_raw(spark, str(path), 1000, 1500)
+    assert grid.df.rdd.getNumPartitions() > 1  # not all pixels from one task
+    grids.write_raw(grid, str(tmp_path / "out.raw"))
+    assert (tmp_path / "out.raw").read_bytes() == path.read_bytes()
+
+
+def test_raw_images_of_other_lengths(spark, tmp_path):
+    for length in (0, 1, 14, 16, 31):  # of 15
+        path = tmp_path / f"{length}.raw"
+        path.write_bytes(bytes(range(200, 200 + length)))
+        got = {(r["i"], r["j"]): r["v"] for r in grids.read_raw(spark, str(path), 5, 3).df.collect()}
+        assert got == {(n // 5, n % 5): 200 + n for n in range(min(length, 15))}
+    for length in (1, 100, 6_000_000, 1_000_003, 2 * 1_000_003):
+        assert length % grids._piece(length) == 0 and grids._piece(length) <= grids.MOST_BYTES
+    assert 10_000 < grids._piece(6_000_000) < 1_000_000
+
+
 def test_generated_grids(spark):
     a, b = (grids.to_array(grids.random(spark, (4, 5), 1000, seed=3)) for _ in range(2))
     assert (a == b).all() and a.dtype == np.float32 and 0 <= a.min() and a.max() < 1000 and len(np.unique(a)) > 10

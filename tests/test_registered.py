@@ -34,6 +34,14 @@ def test_query_matches_its_sql(spark, sql, name):
     same(catalog.QUERIES[name](spark, DATA).toPandas(), sql.execute(catalog.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", ["raw_read"])
+def test_raw_images_with_a_short_last_line(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{DATA}/events.parquet' WHERE event_id < 250) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    same(catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES[name]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
