@@ -294,6 +294,10 @@ def test_large_raw_images_are_read_in_pieces(spark, tmp_path):
     assert grid.df.rdd.getNumPartitions() > 1  # not all pixels from one task
     grids.write_raw(grid, str(tmp_path / "out.raw"))
     assert (tmp_path / "out.raw").read_bytes() == path.read_bytes()
+    turned = grids.read_raw(spark, str(path), 1000, 1500, transposed=True)
+    assert turned.df.rdd.getNumPartitions() > 1 and turned.shape == (1000, 1500)
+    grids.write_raw(turned, str(tmp_path / "turned.raw"))
+    assert (tmp_path / "turned.raw").read_bytes() == pixels.T.tobytes()
 
 
 def test_raw_images_of_other_lengths(spark, tmp_path):

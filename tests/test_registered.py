@@ -34,7 +34,7 @@ def test_query_matches_its_sql(spark, sql, name):
     same(catalog.QUERIES[name](spark, DATA).toPandas(), sql.execute(catalog.ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["raw_read"])
+@pytest.mark.parametrize("name", ["raw_read", "raw_read_transposed"])
 def test_raw_images_with_a_short_last_line(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT * FROM '{DATA}/events.parquet' WHERE event_id < 250) TO '{tmp_path}/events.parquet'")
