@@ -14,6 +14,8 @@ from gridloom.operators.grid import Grid, StencilError
 
 #: A piece of a raw file that is read at once.
 MOST_BYTES = 1 << 24
+#: Pixels of a raw file that are put in order at once, and pixels that the driver takes at once.
+BLOCK, PART = 1 << 16, 1 << 22
 #: Keys of the views over ``events``, as expressions of the event's number.
 EVENT_KEYS = {
     1: {"x": "event_id"},
@@ -133,18 +135,33 @@ def raw_rows(grid: Grid) -> DataFrame:
     return grid.df.groupBy(F.col(line).alias("row")).agg(F.unhex(F.array_join(F.transform(inner, lambda x: x["byte"]), "")).alias("pixels"))
 
 
+def raw_blocks(grid: Grid) -> DataFrame:
+    """A grid of 0 to 255 as binary rows of BLOCK pixels, counted along its lines: ``block, pixels``. A pixel is gathered as
+    one number, its place in the block and its value."""
+    line, column = (F.col(k).cast("long") for k in grid.keys)
+    n = line * grid.shape[1] + column
+    value = F.col(grid.value).cast("long")
+    value = F.when(value.between(0, 255), value).otherwise(F.raise_error("a raw image holds values from 0 to 255"))
+    points = grid.df.select(F.floor(n / BLOCK).alias("block"), (n % BLOCK * 256 + value).cast("int").alias("point"))
+    points = points.groupBy("block").agg(F.sort_array(F.collect_list("point")).alias("points"))
+    letters = F.array_join(F.transform("points", lambda x: F.char(x)), "")  # char takes the low byte
+    return points.select("block", F.encode(letters, "ISO-8859-1").alias("pixels"))
+
+
 def write_raw(grid: Grid, path: str) -> None:
-    """One raw file, a byte a pixel, at a path of any of Spark's file systems. Lines pass through the driver, a megabyte or
-    a line at a time."""
+    """One raw file, a byte a pixel, at a path of any of Spark's file systems. Executors order the pixels; their blocks pass
+    through the driver, a part of PART bytes at a time."""
     if grid.dim != 2:
         raise StencilError("an image has two dimensions")
+    parts = max(1, -(-prod(grid.shape) // PART))
+    blocks = raw_blocks(grid).repartitionById(parts, F.floor(F.col("block") * BLOCK / PART).cast("int")).sortWithinPartitions("block")
     at, files = _hadoop_path(grid.df.sparkSession, path)
     out = files.create(at)
     waiting = bytearray()
     try:
-        for row in raw_rows(grid).orderBy("row").toLocalIterator():
+        for row in blocks.toLocalIterator(prefetchPartitions=True):
             waiting += row["pixels"]
-            if len(waiting) >= 1 << 20:  # a call of the JVM costs more than a line
+            if len(waiting) >= 1 << 20:  # a call of the JVM costs more than a block
                 out.write(waiting)
                 waiting = bytearray()
         out.write(waiting)

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions.neighborhoods import moore, von_neumann
 from gridloom.operators import library as lib
@@ -300,6 +301,27 @@ def test_large_raw_images_are_read_in_pieces(spark, tmp_path):
     assert (tmp_path / "turned.raw").read_bytes() == pixels.T.tobytes()
 
 
+@pytest.mark.parametrize("shape", [(1, 300_000), (300_000, 1), (600, 500)])
+def test_raw_images_are_put_in_order_in_blocks(spark, tmp_path, monkeypatch, shape):
+    pixels = np.random.default_rng(4).integers(0, 256, shape).astype(np.uint8)
+    path = tmp_path / "image.raw"
+    path.write_bytes(pixels.tobytes())
+    grid = grids.read_raw(spark, str(path), shape[1], shape[0])
+    grid.df = grid.df.orderBy(F.rand(5)).withColumn("v", F.col("v").cast("int"))
+    sizes = grids.raw_blocks(grid).select("block", F.length("pixels")).orderBy("block").collect()
+    assert [tuple(r) for r in sizes] == [(b, min(grids.BLOCK, 300_000 - b * grids.BLOCK)) for b in range(5)]  # no line is a row of its own
+    monkeypatch.setattr(grids, "PART", 2 * grids.BLOCK)  # three parts
+    grids.write_raw(grid, str(tmp_path / "out.raw"))
+    assert (tmp_path / "out.raw").read_bytes() == path.read_bytes()
+
+
+def test_raw_images_of_no_bytes_are_refused(spark, tmp_path):
+    for value in ("256", "-1", "null"):
+        df = spark.range(6).selectExpr("id div 3 AS i", "id % 3 AS j", f"if(id = 4, {value}, id) AS v")
+        with pytest.raises(Exception, match="from 0 to 255"):
+            grids.write_raw(Grid(df, ["i", "j"], "v", (2, 3)), str(tmp_path / "out.raw"))
+
+
 def test_raw_images_of_other_lengths(spark, tmp_path):
     for length in (0, 1, 14, 16, 31):  # of 15
         path = tmp_path / f"{length}.raw"
