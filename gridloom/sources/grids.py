@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 from math import isqrt, log2, prod
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.grid import Grid, StencilError
 
-#: A piece of a raw file that is read at once.
-MOST_BYTES = 1 << 24
+#: A piece of a raw file that is read at once has at most so many bytes, and on files of more at least so many.
+MOST_BYTES, LEAST_BYTES = 1 << 20, 1 << 12
 #: Pixels of a raw file that are put in order at once, and pixels that the driver takes at once.
 BLOCK, PART = 1 << 16, 1 << 22
 #: Keys of the views over ``events``, as expressions of the event's number.
@@ -94,16 +95,35 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def _piece(length: int) -> int:
-    """A divisor of a file's length, as near to 64 KB as there is, and at most 16 MB: pieces of equal length that fill the file."""
+    """A divisor of a file's length, as near to 64 KB as there is, and at most 1 MB: pieces of equal length that fill the file."""
     small = (d for d in range(1, min(isqrt(length), MOST_BYTES) + 1) if length % d == 0)
     return min((d for s in small for d in (s, length // s) if d <= MOST_BYTES), key=lambda d: abs(log2(d) - 16), default=1)
 
 
+def _padded(spark: SparkSession, path: str) -> str:
+    """A copy of a raw file in the shared folder, filled up to whole pieces of 64 KB."""
+    at, files = _hadoop_path(spark, path)
+    copy = f"{shared_folder(spark)}/gridloom-padded-{uuid.uuid4().hex}.raw"
+    to, shared = _hadoop_path(spark, copy)
+    read, out = files.open(at), shared.create(to)
+    try:
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 20, False)
+        out.write(bytearray(-files.getFileStatus(at).getLen() % (1 << 16)))
+    finally:
+        read.close()
+        out.close()
+    return copy
+
+
 def read_raw(spark: SparkSession, path: str, width: int, height: int, transposed: bool = False) -> Grid:
     """A raw grayscale file, a byte a pixel, row by row: keys (row, column), or (column, row) if ``transposed``. A task reads
-    about a megabyte of it. Bytes beyond the image are ignored, points beyond the file's end are left out."""
+    about a megabyte of it; a file whose length has no divisor for a piece is copied first, and the copy stays. Bytes beyond the
+    image are ignored, points beyond the file's end are left out."""
     at, files = _hadoop_path(spark, path)
-    piece = _piece(files.getFileStatus(at).getLen())
+    length = files.getFileStatus(at).getLen()
+    pixels, piece = min(width * height, length), _piece(length)
+    if piece < LEAST_BYTES < length:
+        path, piece = _padded(spark, path), 1 << 16
     pieces = spark.sparkContext.newAPIHadoopFile(
         path.replace(",", r"{\,}"),  # Hadoop takes a bare comma for the end of a path
         "org.apache.spark.input.FixedLengthBinaryInputFormat",
@@ -112,8 +132,8 @@ def read_raw(spark: SparkSession, path: str, width: int, height: int, transposed
         conf={"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(piece), "mapreduce.input.fileinputformat.split.maxsize": str(1 << 20)},
     )
     letters = F.split(F.decode("bytes", "ISO-8859-1"), "")  # once a piece: a substring for each pixel would copy the piece each time
-    df = spark.createDataFrame(pieces, "piece bigint, bytes binary", verifySchema=False).where(F.col("piece") * piece < width * height)
-    df = df.select("piece", F.posexplode(letters).alias("at", "letter")).select((F.col("piece") * piece + F.col("at")).alias("n"), F.ascii("letter").cast("float").alias("v")).where(F.col("n") < width * height)
+    df = spark.createDataFrame(pieces, "piece bigint, bytes binary", verifySchema=False).where(F.col("piece") * piece < pixels)
+    df = df.select("piece", F.posexplode(letters).alias("at", "letter")).select((F.col("piece") * piece + F.col("at")).alias("n"), F.ascii("letter").cast("float").alias("v")).where(F.col("n") < pixels)
     row, column = F.expr(f"n div {width}"), F.expr(f"n % {width}")
     keys, shape = ((column, row), (width, height)) if transposed else ((row, column), (height, width))
     return Grid(df.select(keys[0].alias("i"), keys[1].alias("j"), "v"), ["i", "j"], "v", shape)

@@ -333,6 +333,20 @@ def test_raw_images_of_other_lengths(spark, tmp_path):
     assert 10_000 < grids._piece(6_000_000) < 1_000_000
 
 
+def test_raw_images_whose_length_has_no_divisor(spark, tmp_path):
+    width, height = 1009, 1109  # a last line of one pixel; the length is a prime
+    length = width * (height - 1) + 1
+    assert grids._piece(length) == 1
+    pixels = np.random.default_rng(6).integers(0, 256, length).astype(np.uint8)
+    path = tmp_path / "image.raw"
+    path.write_bytes(pixels.tobytes())
+    grid = grids.read_raw(spark, str(path), width, height)
+    pieces = grid.df.select(F.spark_partition_id().alias("task"), (F.col("i") * width + F.col("j")).alias("n"), "v").toPandas()
+    assert pieces["task"].nunique() > 1 and len(pieces) == length
+    assert (pieces.sort_values("n")["v"].to_numpy() == pixels).all() and sorted(pieces["n"]) == list(range(length))
+    assert {p.stat().st_size for p in tmp_path.parent.glob("shared*/**/gridloom-padded-*.raw")} == {-(-length // (1 << 16)) << 16}  # read by pieces of the copy
+
+
 def test_generated_grids(spark):
     a, b = (grids.to_array(grids.random(spark, (4, 5), 1000, seed=3)) for _ in range(2))
     assert (a == b).all() and a.dtype == np.float32 and 0 <= a.min() and a.max() < 1000 and len(np.unique(a)) > 10
